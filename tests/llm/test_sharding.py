@@ -1,0 +1,79 @@
+"""The hash tree against a row-at-a-time descent, and its laws."""
+
+import collections
+import math
+import zlib
+
+import pytest
+import xxhash
+
+from tessera.llm import sharding as S
+from tessera.llm.common import read
+
+SF = "/root/testdata/sf0.01"
+
+
+def descend(key, node):
+    while node.children:
+        draws = []
+        for i, c in enumerate(node.children):
+            seed = 42 if key is None else xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), seed=42)
+            h = xxhash.xxh64_intdigest(c.name.encode(), seed=seed)
+            draws.append((-math.log(((h >> 11) + 0.5) * 2.0**-53) / c.weight, i))
+        node = node.children[min(draws)[1]]
+    return node.shard
+
+
+def test_documents(spark):
+    rows = S.assign(read(spark, SF, "documents"), S.tree()).collect()
+    docs = {r.doc_id: r.text for r in read(spark, SF, "documents").select("doc_id", "text").collect()}
+    assert len(rows) == len(docs)
+    more = S.grown(S.tree())
+    for r in rows:
+        text = docs[r.doc_id].encode()
+        assert (r.size, r.text_crc32, r.law) == (len(text) + 1, zlib.crc32(text), "key")
+        assert (r.shard, r.grown_shard) == (descend(r.doc_id, S.tree()), descend(r.doc_id, more))
+        assert r.grown_shard in (r.shard, 8)
+    for shard in range(8):
+        slots = sorted(r.slot for r in rows if r.shard == shard)
+        assert slots == list(range(len(slots))) and 80 < len(slots) < 170
+    assert 60 < sum(r.grown_shard == 8 for r in rows) < 170
+
+
+def test_odd_rows(spark):
+    rows = [(5, "x", 1)] * 40 + [(5, "y", 2), (None, None, 3), (None, "é", 4), (7, "", 5), (8, "z" * 300_000, 6)]
+    got = S.assign(spark.createDataFrame(rows, "doc_id long, text string, shard int"), S.tree()).collect()
+    key = lambda i, t: (i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()))
+    assert collections.Counter((r.doc_id, r.size, r.text_crc32) for r in got) == collections.Counter(key(i, t) for i, t, _ in rows)
+    for shard in range(8):
+        slots = sorted(r.slot for r in got if r.shard == shard)
+        assert slots == list(range(len(slots)))
+    assert S.assign(spark.createDataFrame([], "doc_id long, text string"), S.tree()).count() == 0
+
+
+@pytest.mark.parametrize("shard", [0, 5])
+def test_movement_is_confined(shard):
+    """One shard's weight rises: a key moves only into subtrees whose weight rose, and only on the path to it."""
+    old, new = S.tree(), S.tree(weights={shard: 2.0})
+    region, rack = shard // 4, shard // 2
+    moved = 0
+    for key in range(4000):
+        a, b = descend(key, old), descend(key, new)
+        if a != b:
+            moved += 1
+            assert b // 4 == region  # never out of the region that grew
+            assert b // 4 != a // 4 or b // 2 == rack  # within the region, only into the rack that grew
+            assert b // 2 != a // 2 or b == shard
+    assert 0 < moved < 1500
+
+
+def test_weights_are_kept(spark):
+    t = S.tree(weights={3: 4.0})
+    got = spark.range(20_000).select(S.place(S.F.col("id"), t).alias("s")).groupBy("s").count().collect()
+    share = {r.s: r["count"] / 20_000 for r in got}
+    assert abs(share[3] - 4 / 11) < 0.02 and all(abs(share[s] - 1 / 11) < 0.015 for s in range(8) if s != 3)
+
+
+def test_plan_is_native(spark):
+    plan = S.assign(read(spark, SF, "documents"), S.tree())._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan

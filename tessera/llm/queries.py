@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import mixing, quality, sharding, tokens
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,18 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, field)
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(read(spark, sf_dir, "documents"), sharding.tree())
+
+
+def op8_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode_and_digest(read(spark, sf_dir, "documents"), tokens.public_spec())
+
+
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

@@ -26,8 +26,10 @@ from .common import blocks, keyed_texts, shared_folder
 END_ID = 2
 STRIDE = 1000
 STRIPE_BYTES = 16 << 20
-#: Pieces whose ids a worker remembers; beyond it starts anew.
-CACHE = 400_000
+#: Pieces whose ids a worker remembers; beyond it only those that came up twice or more stay.
+CACHE = 700_000
+#: Unknown pieces that are encoded as one string.
+JOINED = 2000
 FILE_SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 
 #: A piece: a run of white space and the run of other characters after it. The tokenizer's own rule never
@@ -37,6 +39,25 @@ _PIECE = re.compile(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+")
 _ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 
 
+#: How the byte-level vocabulary spells space, tab, line feed, vertical tab, form feed, carriage return.
+_SPACE_SIGNS = ("Ġ", "ĉ", "Ċ", "ċ", "Č", "č")
+
+
+class _Places(dict):
+    """Numbers of pieces in the order in which they first come up; ``new`` are those since it was last emptied."""
+
+    def __init__(self, *args):
+        super().__init__(*args)
+        self.new: list[str] = []
+        self.next = len(self)
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = self.next
+        self.next = n + 1
+        self.new.append(piece)
+        return n
+
+
 class Encoder:
     """The tokenizer with its pieces' ids remembered."""
 
@@ -49,55 +70,92 @@ class Encoder:
         self.special = [t["content"] for t in parts.get("added_tokens") or []]
         pre = parts.get("pre_tokenizer") or {}
         self.by_piece = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not parts.get("normalizer")
-        self.forget()
-
-    def forget(self) -> None:
-        self.places: dict[str, int] = {}
-        self.ids = np.zeros(0, np.int32)
-        self.starts = np.zeros(0, np.int64)
-        self.lengths = np.zeros(0, np.int64)
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        self.begins_blank = np.array([n.startswith(_SPACE_SIGNS) for n in names])
+        self.ends_blank = np.array([n.endswith(_SPACE_SIGNS) for n in names])
+        self.places = _Places()
+        self.ids, self.starts, self.lengths, self.uses = (np.zeros(0, t) for t in (np.int32, np.int64, np.int64, np.int64))
+
+    def _trim(self) -> None:
+        keep = np.flatnonzero(self.uses > 1)
+        moved = np.full(len(self.uses), -1)
+        moved[keep] = np.arange(len(keep))
+        old = zip(self.places, moved[np.fromiter(self.places.values(), np.int64, len(self.places))].tolist(), strict=True)
+        self.places = _Places({p: n for p, n in old if n >= 0} if len(keep) <= CACHE // 2 else {})
+        if not self.places:
+            keep = keep[:0]
+        lengths = self.lengths[keep]
+        at = np.cumsum(lengths) - lengths
+        self.ids = self.ids[np.repeat(self.starts[keep] - at, lengths) + np.arange(int(lengths.sum()))]
+        self.starts, self.lengths, self.uses = at, lengths, np.ones(len(keep), np.int64)
+
+    def _encode(self, items: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the items, end to end, and how many each has."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(items, add_special_tokens=False)]
+        return np.array([i for f in found for i in f], np.int32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pieces that begin with white space and don't end with it: joined, they are a text that falls into them again."""
+        ids = self._encode(["".join(pieces[i : i + JOINED]) for i in range(0, len(pieces), JOINED)])[0]
+        begins = self.begins_blank[ids]
+        begins[1:] &= ~self.ends_blank[ids[:-1]]
+        heads = np.flatnonzero(begins)
+        if len(heads) != len(pieces):  # an unusual vocabulary
+            return self._encode(pieces)
+        return ids, np.diff(np.append(heads, len(ids)))
 
     def _learn(self, items: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch(items, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        at = len(self.ids) + np.cumsum(lengths) - lengths
-        self.ids = np.concatenate([self.ids, np.fromiter((i for f in found for i in f), np.int32, int(lengths.sum()))])
-        self.starts, self.lengths = np.concatenate([self.starts, at]), np.concatenate([self.lengths, lengths])
+        """Remember the ids of the pieces that are new, and of any whole texts that come after them."""
+        blank = " \t\n\r\f\v"
+        joins = np.array([p[0] in blank and p[-1] not in blank for p in self.places.new] + [False] * (len(items) - len(self.places.new)), bool)
+        starts, lengths = np.zeros(len(items), np.int64), np.zeros(len(items), np.int64)
+        for some, encode in ((np.flatnonzero(joins), self._encode_pieces), (np.flatnonzero(~joins), self._encode)):
+            if len(some):
+                ids, n = encode([items[i] for i in some.tolist()])
+                lengths[some], starts[some] = n, len(self.ids) + np.cumsum(n) - n
+                self.ids = np.concatenate([self.ids, ids])
+        self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
+        self.uses = np.concatenate([self.uses, np.zeros(len(items), np.int64)])
+        self.places.new, self.places.next = [], len(self.starts)
 
     def __call__(self, texts: list[str | None], end: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text's followed by the end id, and the n + 1 offsets of the texts' ids."""
-        if len(self.places) > CACHE:
-            self.forget()
-        places, new, numbers, counts = self.places, [], [], np.zeros(len(texts), np.int64)
-        base = len(self.starts)
-        whole: dict[int, int] = {}
-        for k, text in enumerate(texts):
+        if len(self.starts) > CACHE:
+            self._trim()
+        pieces: list[str] = []
+        counts = []
+        whole: dict[int, str] = {}
+        for text in texts:
             if not text:
-                continue
-            if self.by_piece and not _ODD.search(text) and not any(s in text for s in self.special):
-                pieces = _PIECE.findall(text)
-                for p in set(pieces).difference(places):
-                    places[p] = base + len(new)
-                    new.append(p)
-                numbers.append(np.fromiter(map(places.__getitem__, pieces), np.int64, len(pieces)))
-            else:
-                whole[k] = base + len(new)
-                new.append(text)
-                numbers.append(np.array([whole[k]]))
-            counts[k] = len(numbers[-1])
-        if new:
+                found = []
+            elif self.by_piece and not _ODD.search(text) and not any(s in text for s in self.special):
+                found = _PIECE.findall(text)
+            else:  # any piece that is known will do until the text has its number
+                whole[len(pieces)], found = text, [" "]
+            pieces += found
+            counts.append(len(found))
+        flat = np.fromiter(map(self.places.__getitem__, pieces), np.int64, len(pieces))
+        if new := [*self.places.new, *whole.values()]:
+            flat[list(whole)] = np.arange(len(whole)) + self.places.next
             self._learn(new)
-        # the end id stands after the last piece of each text
-        flat = np.concatenate([*numbers, np.zeros(0, np.int64)]).astype(np.int64)
+        self.uses += np.bincount(flat, minlength=len(self.uses))
         lengths = self.lengths[flat]
-        ends = np.cumsum(counts)
-        tokens = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], ends])]
-        total = int(lengths.sum())
-        source = np.repeat(self.starts[flat] - (np.cumsum(lengths) - lengths), lengths) + np.arange(total)
-        out = np.insert(self.ids[source], tokens[1:], np.int32(end)) if len(texts) else np.zeros(0, np.int32)
-        if whole:
-            self.forget()
-        return out, tokens + np.arange(len(texts) + 1)
+        ends = np.cumsum(np.array(counts, np.int64))
+        tokens = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], ends]).astype(np.int64)]
+        source = np.repeat(self.starts[flat] - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+        # the end id stands after the last id of each text
+        return np.insert(self.ids[source], tokens[1:], np.int32(end)), tokens + np.arange(len(texts) + 1)
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(spec: str) -> Encoder:
+    """This worker's encoder for a tokenizer; it outlives a task."""
+    if spec not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[spec] = Encoder(spec)
+    return _ENCODERS[spec]
 
 
 def write(docs: DataFrame, spec: str, path: str, end: int = END_ID) -> None:
@@ -106,9 +164,9 @@ def write(docs: DataFrame, spec: str, path: str, end: int = END_ID) -> None:
     ordered = rows.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, before = Encoder(spec), 0
+        encode_all, before = encoder(spec), 0
         for block in blocks(batches):
-            ids, offsets = encoder(block.column("text").to_pylist(), end)
+            ids, offsets = encode_all(block.column("text").to_pylist(), end)
             column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("part"), pa.array(before + offsets[:-1]), pa.array(np.diff(offsets)), column], names=[c.split()[0] for c in FILE_SCHEMA.split(", ")])
             before += int(offsets[-1])

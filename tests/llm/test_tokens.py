@@ -52,8 +52,13 @@ def test_odd_rows(spark):
     assert T.encode_and_digest(df.limit(0), SPEC).count() == 0
 
 
-def test_cache_starts_anew(monkeypatch):
-    monkeypatch.setattr(T, "CACHE", 3)
+def test_cache_is_trimmed(monkeypatch):
+    """Also with whole texts among the remembered ids, and pieces that come up once or often."""
+    monkeypatch.setattr(T, "CACHE", 12)
     e = T.Encoder(SPEC)
-    for text in ("a b c d e f", "a q r", "a b"):
-        assert e([text])[0].tolist() == [*TOKENIZER.encode(text, add_special_tokens=False).ids, 2]
+    for k in range(30):
+        texts = [f"the a{k} b b b{k}", f"the\x85 {k}", None, f" the thing{k} ", "the <|endoftext|>", f"\n\nthe q{k % 3}"]
+        ids, offsets = e(texts)
+        for t, a, b in zip(texts, offsets, offsets[1:], strict=False):
+            assert ids[a:b].tolist() == [*TOKENIZER.encode(t or "", add_special_tokens=False).ids, 2]
+    assert len(e.starts) < 60

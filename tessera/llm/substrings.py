@@ -40,9 +40,9 @@ LENGTH = 50
 GRAM = 24
 #: Bytes of text in a chunk, and in the stretches of it that are hashed at once.
 CHUNK = 8 << 20
-STRETCH = 2 << 20
+STRETCH = 1 << 18
 #: Buckets are two to a power between these.
-BUCKET_BITS = (6, 18)
+BUCKET_BITS = (8, 18)
 #: Suffixes in a batch of an index family.
 BATCH = 1 << 17
 #: The place of a document without an id: after all others.
@@ -79,11 +79,11 @@ def _runs_of(data: np.ndarray, offsets: np.ndarray) -> Runs:
         h = np.minimum(h[:-step], h[step:])
         step *= 2
     h = np.minimum(h[: len(h) - (width - step)], h[width - step :]) if width > step else h
-    edge = np.zeros(n + 1, np.int32)
-    long = np.diff(offsets) >= LENGTH
-    np.add.at(edge, offsets[:-1][long], 1)
-    np.add.at(edge, offsets[1:][long] - LENGTH + 1, -1)
-    place = np.flatnonzero(np.cumsum(edge)[:n] > 0)
+    begins = np.ones(n, bool)  # of windows: not the last bytes of a text
+    full = np.diff(offsets) > 0
+    ends = offsets[1:][full, None] - np.arange(1, LENGTH)
+    begins[np.maximum(ends, offsets[:-1][full, None])] = False
+    place = np.flatnonzero(begins[: len(h)])
     anchor = h[place]
     new = np.ones(len(place), bool)
     new[1:] = anchor[1:] != anchor[:-1]
@@ -118,17 +118,20 @@ class Chunk:
         # bucket and the next 32 bits of an anchor's hash: enough to find what may be shared
         self.bits = bits
         self.short = self.runs.anchor >> np.uint64(32 - bits)
-        self.shorts = np.unique(self.short)
+        self.by_short = np.argsort(self.short)
+        ranked = self.short[self.by_short]
+        head = np.ones(len(ranked), bool)
+        head[1:] = ranked[1:] != ranked[:-1]
+        self.heads = np.flatnonzero(head)
+        self.shorts = ranked[self.heads]
+        self.place = np.empty(len(ranked), np.int64)  # of each run's anchor among the distinct ones
+        self.place[self.by_short] = np.cumsum(head) - 1
         self.bucket = (self.shorts >> np.uint64(32)).astype(np.int64)
 
     def several(self) -> np.ndarray:
         """Of each distinct anchor, whether documents with different ids have it."""
-        place = np.searchsorted(self.shorts, self.short)
-        low, high = np.full(len(self.shorts), LAST), np.zeros(len(self.shorts), np.uint64)
-        owner = self.order[self.runs.doc]
-        np.minimum.at(low, place, owner)
-        np.maximum.at(high, place, owner)
-        return low < high
+        owner = self.order[self.runs.doc[self.by_short]]
+        return np.minimum.reduceat(owner, self.heads) < np.maximum.reduceat(owner, self.heads) if len(owner) else np.zeros(0, bool)
 
     def contents(self, masks: dict[int, bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the runs whose anchors are shared: distinct contents, sorted by bucket; each one's bucket, short anchor and first document; and of each run its content or -1."""
@@ -136,7 +139,7 @@ class Chunk:
         for bucket, mask in masks.items():
             a, b = np.searchsorted(self.bucket, [bucket, bucket + 1])
             shared[a:b] = np.unpackbits(np.frombuffer(mask, np.uint8), count=b - a)
-        some = np.flatnonzero(shared[np.searchsorted(self.shorts, self.short)])
+        some = np.flatnonzero(shared[self.place])
         raw = self.data.tobytes()
         ends = self.runs.start[some] + self.runs.size[some] + LENGTH - 1
         numbers: dict[bytes, int] = {}
@@ -289,7 +292,7 @@ def find(docs: DataFrame, keep: bool = False) -> DataFrame:
     """
     rows = keyed_texts(docs)
     chunks = max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(total_bytes(rows, "text") / CHUNK))
-    bits = min(max(math.ceil(math.log2(chunks)), BUCKET_BITS[0]), BUCKET_BITS[1])
+    bits = min(max(math.ceil(math.log2(chunks)) + 1, BUCKET_BITS[0]), BUCKET_BITS[1])
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
     schema = "doc_id long, n_bytes long, spans array<long>, kept_sha256 string" + ", kept binary" * keep
 

@@ -7,19 +7,20 @@
    parities, an odd sketch. The population count of two sketches' XOR estimates by how many samples the
    sets differ, closely so for sets that differ little. A pair goes on unless its estimate is ``SIGMAS``
    standard deviations below the limit.
-4. A bucket first gives a spanning forest of its candidate pairs, the most similar first: a group of copies
-   then joins up over as many pairs as it has members. Full sets confirm these, and the components are
-   found. Then each bucket gives the candidate pairs that still lie in different components; sets confirm
-   those too. A pair is left out only where its ends are linked already, so no component loses a link.
-
-A bucket of more than ``BLOCK_NODES`` nodes is dealt out as pairs of blocks. Only names and sketches go to buckets;
-sets are gathered once, for the nodes that have a candidate.
+4. A bucket gives a spanning forest of its candidate pairs, the most similar first, so it gives fewer pairs than
+   it has nodes. The forests' components are clusters: a linked pair never lies in two.
+5. The full sets of a cluster's nodes meet in one place and are compared there, again only where the sketches
+   allow it and the nodes are not linked yet. What goes on are the links that join something, again fewer than
+   there are nodes. Their components are the result.
+
+A bucket or cluster that is too large for a task is dealt out as pairs of blocks. Only names and sketches go to
+buckets; sets are gathered once, for the nodes that have a candidate.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,9 @@ BANDS, ROWS = 20, 4
 BINS = 1024
 BITS = 1024
 SIGMAS = 6.0
+#: Nodes of a bucket's block, and shingles of a cluster's.
 BLOCK_NODES = 4096
+BLOCK_SHINGLES = 2_000_000
 #: A table of at most so many ids is sent to all tasks; a larger one is shuffled.
 BROADCAST_ROWS = 500_000
 #: Words whose hashes a worker remembers.
@@ -142,13 +145,12 @@ class _Group:
         self.bucket = [column(c) for c in ("band", "key", "i", "j")]
         self.n, self.samples, self.chunk = column("n").astype(float), column("samples").astype(float), column("chunk")
         self.cross = self.bucket[2] != self.bucket[3]
-        self.node, self.root = column("node"), column("component")
+        self.node = column("node")
         self.sketch = np.frombuffer(b"".join(column("sketch")), np.uint64).reshape(len(self.n), -1)
 
     def candidates(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Estimates of pairs of rows, and which of them to look at."""
         similarity, may = _estimates(self.sketch[a], self.sketch[b], self.samples[a], self.samples[b], self.n[a], self.n[b])
-        may &= (self.root[a] != self.root[b]) & (self.node[a] != self.node[b])
         return similarity, may & (~self.cross[a] | (self.chunk[a] != self.chunk[b]))
 
     def forest(self, start: int, end: int) -> list[tuple[int, int]]:
@@ -167,86 +169,105 @@ class _Group:
             best[better] = similarity[may & (similarity > best[others])]
         return out
 
-    def all(self, start: int, end: int) -> list[tuple[int, int]]:
-        """All candidates of a bucket."""
-        out = []
-        if len(set(self.root[start:end].tolist())) > 1:
-            reach = start + np.searchsorted(self.n[start:end], self.n[start:end] * (100 / LIMIT), "right")
-            for k in range(start, end):
-                others = np.arange(k + 1, reach[k - start])
-                if len(others):
-                    out += [(k, o) for o in others[self.candidates(np.full(len(others), k), others)[1]].tolist()]
-        return out
-
 
-def _pairs_of(rows: pa.Table | pa.RecordBatch, forest: bool) -> pa.RecordBatch:
-    """Candidate pairs of whole buckets: a spanning forest of each, or all between different components."""
+def _pairs_of(rows: pa.Table) -> pa.RecordBatch:
+    """Spanning forests of whole buckets."""
     group = _Group(rows)
-    change = np.any([c[1:] != c[:-1] for c in group.bucket], axis=0)
-    starts = np.concatenate([[0], np.flatnonzero(change) + 1])
-    ends = np.append(starts[1:], len(group.n))
+    starts, ends = _bounds(group.bucket)
     two = starts[ends - starts == 2]
-    two = two[group.candidates(two, two + 1)[1]] if len(two) else two
+    two = two[group.candidates(two, two + 1)[1]]
     pairs = list(zip(two.tolist(), (two + 1).tolist(), strict=True))
     for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
         if b - a > 2:
-            pairs += group.forest(a, b) if forest else group.all(a, b)
-    names = [sorted((group.node[x], group.node[y])) for x, y in pairs]
+            pairs += group.forest(a, b)
+    return _named(group.node, pairs)
+
+
+def _named(nodes: np.ndarray, pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    names = [sorted((nodes[x], nodes[y])) for x, y in pairs]
     return pa.RecordBatch.from_arrays([pa.array([n[k] for n in names], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
 
-def _candidates(buckets: DataFrame, forest: bool) -> DataFrame:
-    """Distinct candidate pairs of names. A partition's buckets come in order, and each is looked at when it is complete."""
-    key = ["band", "key", "i", "j"]
+def _bounds(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """First rows of the groups of rows alike, and the rows after their last."""
+    starts = np.concatenate([[0], np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1])
+    return starts, np.append(starts[1:], len(columns[0]))
+
+
+def _by_group(rows: DataFrame, key: list[str], order: list[str], answer: Callable[[pa.Table], pa.RecordBatch]) -> DataFrame:
+    """Pairs from groups of rows. A partition's groups come in order, and ``answer`` gets some whole groups at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [batch.column(c).to_numpy() for c in key]
-            change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
             if held and any(held[-1].column(c)[-1].as_py() != batch.column(c)[0].as_py() for c in key):
-                yield _pairs_of(pa.Table.from_batches(held).combine_chunks(), forest)
+                yield answer(pa.Table.from_batches(held).combine_chunks())
                 held = []
-            if len(change):
-                yield _pairs_of(pa.Table.from_batches([*held, batch.slice(0, change[-1])]).combine_chunks(), forest)
+            last = int(_bounds([batch.column(c).to_numpy(zero_copy_only=False) for c in key])[0][-1])
+            if last:
+                yield answer(pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks())
                 held = []
-                batch = batch.slice(change[-1])
-            held.append(batch)
+            held.append(batch.slice(last))
         if held:
-            yield _pairs_of(pa.Table.from_batches(held).combine_chunks(), forest)
+            yield answer(pa.Table.from_batches(held).combine_chunks())
 
-    return buckets.repartition(*key).sortWithinPartitions(*key, "n", "node").mapInArrow(run, "a binary, b binary").distinct()
+    return rows.repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(run, "a binary, b binary").distinct()
 
 
-def _buckets(nodes: DataFrame) -> DataFrame:
-    """(band, key, i, j) buckets of two nodes or more, with their nodes; a large bucket's blocks in pairs i <= j."""
-    member = nodes.select("node", "n", F.posexplode("bands").alias("band", "key"))
-    size = member.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
-    in_bucket = member.join(size, ["band", "key"]).withColumn("chunks", F.ceil(F.col("size") / BLOCK_NODES).cast("int"))
-    chunk = F.pmod(F.xxhash64("node", "band"), F.col("chunks")).cast("int")
+def _blocks(rows: DataFrame, chunks: Column) -> DataFrame:
+    """Rows dealt to pairs of blocks i <= j of their group; ``chunks`` is the number of blocks."""
+    dealt = rows.withColumn("chunks", chunks.cast("int")).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: F.struct(F.least(x, "chunk").alias("i"), F.greatest(x, "chunk").alias("j")))
-    dealt = in_bucket.withColumn("chunk", chunk).withColumn("block", F.explode(others))
-    return dealt.select("band", "key", F.col("block.i").alias("i"), F.col("block.j").alias("j"), "chunk", "node")
+    return dealt.withColumn("block", F.explode(others)).withColumns({"i": F.col("block.i"), "j": F.col("block.j")}).drop("block", "chunks")
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-    a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
-    b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
-    both = pairs.join(a, "a").join(b, "b")
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """(band, key, i, j) buckets of two nodes or more, with their nodes."""
+    member = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    size = member.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
+    return _blocks(member.join(size, ["band", "key"]), F.ceil(F.col("size") / BLOCK_NODES)).drop("size")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * shared >= LIMIT * (len(x) + len(y) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary")
+def _links_of(rows: pa.Table) -> pa.RecordBatch:
+    """Links of whole clusters (or of two blocks of one) that join their nodes."""
+    group = _Group(rows)
+    sets = [np.frombuffer(s, np.uint64) for s in rows.column("shingles").to_pylist()]
+    pairs: list[tuple[int, int]] = []
+    for a, b in zip(*(x.tolist() for x in _bounds(group.bucket)), strict=True):
+        if b - a > 1:
+            pairs += _confirmed(group, sets, a, b)
+    return _named(group.node, pairs)
+
+
+def _confirmed(group: _Group, sets: list[np.ndarray], start: int, end: int) -> list[tuple[int, int]]:
+    """A spanning forest of a cluster's links, by full sets. Each node is compared at once with all that come into question."""
+    sizes = np.array([len(s) for s in sets[start:end]])
+    flat = np.unique(np.concatenate(sets[start:end]), return_inverse=True)[1]
+    first = np.cumsum(sizes) - sizes
+    own = np.zeros(int(flat.max()) + 1, bool)
+    label = np.arange(end - start)
+    reach = np.searchsorted(sizes, sizes * (100 / LIMIT), "right")  # nodes stand by size
+    out = []
+    for k in range(end - start - 1):
+        others = np.arange(k + 1, reach[k])
+        others = others[label[others] != label[k]]
+        if len(others):
+            others = others[group.candidates(np.full(len(others), start + k), start + others)[1]]
+        if not len(others):
+            continue
+        mine = flat[first[k] : first[k] + sizes[k]]
+        own[mine] = True
+        n = sizes[others]
+        heads = np.cumsum(n) - n
+        shared = np.add.reduceat(own[flat[np.repeat(first[others] - heads, n) + np.arange(int(n.sum()))]], heads, dtype=np.int64)
+        own[mine] = False
+        for o in others[100 * shared >= LIMIT * (n + sizes[k] - shared)].tolist():
+            if label[o] != label[k]:
+                out.append((start + k, start + o))
+                label[label == label[o]] = label[k]
+    return out
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -279,19 +300,16 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     one = lambda c: F.first(c).alias(c)  # noqa: E731  the same for all rows of a node
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.max("n_samples").alias("samples"), one("bands"), one("sketch"))
     nodes = stored(nodes)
-    buckets = stored(_buckets(nodes))
     about = nodes.select("node", "n", "samples", "sketch")
-    first = stored(_candidates(buckets.join(about, "node").withColumn("component", F.col("node")), True))
-    ends = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct()
+    pairs = stored(_by_group(_buckets(nodes).join(about, "node"), ["band", "key", "i", "j"], ["n", "node"], _pairs_of))
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = stored(nodes.select("node", "doc_id").join(ends, "node", "left_semi"))
-    sets = stored(_sets(docs, wanted))
-    links = stored(_confirm(first, sets))
-    joined = _components(links, wanted)
-    labelled = buckets.join(joined.select("node", F.col("leader").alias("component")), "node").join(about, "node")
-    rest = stored(_candidates(labelled, False).join(first, ["a", "b"], "left_anti"))
-    more = stored(_confirm(rest, sets))
-    joined = _components(links.unionByName(more), wanted)
-    every = nodes.select("node", "doc_id").join(joined, "node", "left")
+    clusters = _components(pairs, wanted).select("node", "leader").join(about, "node")
+    size = clusters.groupBy("leader").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("chunks"))
+    members = _blocks(clusters.join(_sets(docs, wanted), "node").join(size, "leader"), F.col("chunks"))
+    members = members.select(F.lit(0).alias("band"), F.col("leader").alias("key"), "i", "j", "chunk", "node", "n", "samples", "sketch", "shingles")
+    links = stored(_by_group(members, ["band", "key", "i", "j"], ["n", "node"], _links_of))
+    every = nodes.select("node", "doc_id").join(_components(links, wanted), "node", "left")
     return rows, every.select("node", F.when(F.col("leader").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("leader", "node").alias("leader"))
 
 

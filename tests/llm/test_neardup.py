@@ -81,10 +81,11 @@ def variants(seed, n_groups=12, size=14, words=120):
     return out
 
 
-@pytest.mark.parametrize("block_nodes", [4096, 5])
-def test_groups_around_the_limit(spark, monkeypatch, block_nodes):
-    monkeypatch.setattr(N, "BLOCK_NODES", block_nodes)
-    rows = list(enumerate(variants(block_nodes)))
+@pytest.mark.parametrize("nodes,shingles", [(4096, 2_000_000), (5, 600)])
+def test_groups_around_the_limit(spark, monkeypatch, nodes, shingles):
+    monkeypatch.setattr(N, "BLOCK_NODES", nodes)
+    monkeypatch.setattr(N, "BLOCK_SHINGLES", shingles)
+    rows = list(enumerate(variants(nodes)))
     assert rows_of(N.link(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
 
 

@@ -1,0 +1,56 @@
+"""The pipeline, stage by stage against each stage's own rule on its input."""
+
+import re
+
+import corpus_pipeline as P
+
+from tessera.llm import decontaminate, mixing, neardup, quality, tokens
+from tessera.llm.common import read, stored
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_stages(spark):
+    docs = read(spark, SF, "documents")
+    columns, seen = docs.columns, []
+    for name, stage in P.STAGES:
+        out = stored(stage(spark, docs, SF))
+        rows = out.collect()
+        seen.append(len(rows))
+        if name != P.STAGES[-1][0]:
+            assert out.columns == columns
+            texts = {r.doc_id: r for r in docs.collect()}
+            assert all(r == texts[r.doc_id] for r in rows)
+            kept = {r.doc_id for r in rows}
+        if stage is P.quality_rules:
+            field = quality.fit(quality.labelled_sample(docs, read(spark, SF, "labels")))
+            assert kept == {r.doc_id for r in quality.score(docs, field).collect() if r.kept}
+        elif stage is P.near_duplicates:
+            assert kept == {r.doc_id for r in neardup.link(docs).collect() if r.kept} and len(rows) == len(kept)
+        elif stage is P.decontamination:
+            assert kept == {r.doc_id for r in decontaminate.report(docs, read(spark, SF, "benchmark")).collect() if not r.contaminated}
+        elif stage is P.source_mix:
+            want = {r.doc_id: r.taken // r["size"] for r in mixing.mix(docs).collect() if r.taken}
+            assert {i: sum(r.doc_id == i for r in rows) for i in kept} == want
+        else:
+            ids = sorted((r.start, r.n_tokens, r.doc_id) for r in rows)
+            assert [a + n for a, n, _ in ids[:-1]] == [a for a, *_ in ids[1:]] and [i for *_, i in ids] == sorted(r.doc_id for r in docs.collect())
+        docs = out
+    assert seen[0] > seen[1] > seen[2] and seen[4] == seen[3]
+
+
+def test_run(spark):
+    assert [re.sub(r"\W", "", n) for n, _ in P.STAGES] and 4 <= len(P.STAGES) <= 5 and P.ORACLE_SQL is None
+    out = P.run(spark, "/root/testdata/sf0.001")
+    assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() > 50
+
+
+def test_empty(spark):
+    docs = read(spark, SF, "documents").limit(0)
+    for _, stage in P.STAGES:
+        docs = stored(stage(spark, docs, SF))
+        assert docs.count() == 0
+
+
+def test_spec_is_public():
+    assert '"ByteLevel"' in tokens.public_spec()

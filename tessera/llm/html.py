@@ -59,7 +59,9 @@ NEVER_ROLES = frozenset("navigation banner contentinfo complementary search dial
 REMARKS = frozenset("no has with without is not hide".split())
 #: Elements that a class does not rule out, and what marks an article.
 TRUSTED = frozenset("html body main article".split())
-ARTICLE_WORDS = frozenset("articlebody article-body article-content article-text post-content post-body entry-content story-body main-content".split())
+ARTICLE_WORDS = frozenset("article articlebody article-body article-content article-text content main main-content post post-content post-body entry entry-content story story-body".split())
+#: Last lines that belong to the page, where nothing marks its end.
+CLOSING = re.compile(r"©|\(c\) ?[0-9]{4}|copyright\b|all rights reserved", re.IGNORECASE)
 
 _TAG = re.compile(
     r"""<(?:!--(?:>|->|.*?(?:--!?>|\Z))|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*+(?:>|\Z)|/(?![a-zA-Z])[^>]*+(?:>|\Z)
@@ -238,6 +240,8 @@ def main_lines(lines: list[Line]) -> list[Line]:
     start, end = max(found, key=lambda s: (sum(weights[s[0] : s[1]]), -s[0]))
     while start and lines[start - 1].heading:
         start -= 1
+    while end - start > 1 and CLOSING.match(lines[end - 1].text):
+        end -= 1
     return lines[start:end]
 
 

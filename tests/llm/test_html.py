@@ -54,6 +54,8 @@ PAGES = [
     (f"<div class='has-sidebar no-comments'><p>{LONG}</p></div><div role=navigation>{LONG}</div>", LONG),
     (f"<p>{LONG}</p><ul><li><a href=/a>{LONG}</a><li><a href=/b>{LONG}</a></ul>", LONG),
     (f"<ARTICLE><P>{LONG}<!-- <p>no</p> --><TABLE><TR><TD>1<TD>2<TR><TD>3</TABLE><ul><li>i<li>j</ul><pre>p\n  q</pre>", f"{LONG}\n\n1 2\n\n3\n\ni\n\nj\n\np q"),
+    (f"<div><a href=/>Home</a> <a href=/x>News</a></div><h1>T</h1><p>{LONG}</p><p>End.</p><div>&copy; 2024 Site. All rights reserved.</div>", f"T\n\n{LONG}\n\nEnd."),
+    (f"<div id=content><p>Short.</p><p>{LONG}</p></div><div class=post-comments>{LONG} {LONG}</div>", f"Short.\n\n{LONG}"),
     ("plain text, no markup", "plain text, no markup"),
     ("a < b and c <3 d", "a < b and c <3 d"),
     ("<article><p>cut <b>off</article", "cut off"),

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -88,12 +91,19 @@ def multipliers(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
 
 
+@cache
+def _own_folder() -> str:
+    path = tempfile.mkdtemp(prefix="tessera-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return f"file://{path}"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder, not yet made, in the place that driver and executors share."""
+    """A new folder, not yet made, in the place that driver and executors share: the one that the cluster names, else
+    the warehouse, or in local mode, where there is one machine only, a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:  # only without a cluster
-        root = f"file://{tempfile.gettempdir()}/tessera"
-        spark.conf.set("spark.checkpoint.dir", root)
+    if not root:
+        root = _own_folder() if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local" else f"{spark.conf.get('spark.sql.warehouse.dir')}/tessera"
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 

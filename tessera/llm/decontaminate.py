@@ -256,7 +256,7 @@ def judge(found: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    return judge(find(docs, benchmark)).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")
+    return judge(find(docs, benchmark)).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -277,3 +277,30 @@ def cut(text: str, spans: list[list[int]]) -> str:
         kept.append(raw[at : words[a][0]])
         at = words[b - 1][1]
     return b"".join([*kept, raw[at:]]).decode()
+
+
+#: The query's rows in plain SQL.
+ORACLE = r"""
+WITH doc AS (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), item AS (
+    SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), places AS (
+    SELECT item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM item WHERE len(w) > 0
+), phrase AS (
+    SELECT DISTINCT item, least(len(w), 13) AS n, array_to_string(list_slice(w, i, i + least(len(w), 13) - 1), ' ') AS p FROM places
+), sizes AS (
+    SELECT DISTINCT n FROM phrase
+), windows AS (
+    SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM doc, sizes WHERE len(w) >= n
+), hits AS (
+    SELECT v.doc_id, v.i, v.n, p.item FROM (SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS p FROM windows) AS v JOIN phrase AS p ON p.p = v.p AND p.n = v.n
+), covered AS (
+    SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM hits) AS c GROUP BY doc_id
+), named AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) AS d GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(m.n_items, 0) AS BIGINT) AS n_items,
+    sha256(coalesce(m.items, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AND 20 * coalesce(c.n_hit, 0) >= len(d.w) AS contaminated
+FROM doc d LEFT JOIN covered c ON c.doc_id = d.doc_id LEFT JOIN named m ON m.doc_id = d.doc_id
+"""

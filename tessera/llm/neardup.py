@@ -354,3 +354,30 @@ def keep_one(docs: DataFrame) -> DataFrame:
     stay = held.join(gone, same, "left_anti").select("__row")
     repeated = held.join(gone.where("is_head"), same).groupBy(*key).agg(F.first("__row").alias("__row")).select("__row")
     return stay.unionByName(repeated).select("__row.*")
+
+
+#: The query's rows in plain SQL.
+ORACLE = r"""
+WITH RECURSIVE doc AS (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingle AS (
+    SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS s
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM doc WHERE len(w) > 0) AS places
+), size AS (
+    SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id
+), shared AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), link AS (
+    SELECT x, y FROM shared JOIN size p ON p.doc_id = x JOIN size q ON q.doc_id = y WHERE 100 * k >= 85 * (p.n + q.n - k)
+), edge AS (
+    SELECT x, y FROM link UNION ALL SELECT y, x FROM link
+), reach AS (
+    SELECT x AS doc_id, x AS other FROM edge
+    UNION
+    SELECT r.doc_id, e.y FROM reach r JOIN edge e ON e.x = r.other
+), least_reached AS (
+    SELECT doc_id, min(other) AS component FROM reach GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, coalesce(r.component, d.doc_id) AS component_id, d.doc_id = coalesce(r.component, d.doc_id) AS kept
+FROM doc d LEFT JOIN size s ON s.doc_id = d.doc_id LEFT JOIN least_reached r ON r.doc_id = d.doc_id
+"""

@@ -59,4 +59,9 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": lines.ORACLE}
+    return {
+        "op3_decontamination": decontaminate.ORACLE,
+        "op5_substring_dedup": substrings.ORACLE,
+        "op7_minhash_neardup": neardup.ORACLE,
+        "op9_line_dedup": lines.ORACLE,
+    }

@@ -368,3 +368,32 @@ def report(docs: DataFrame) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: x - n)  # ends less starts: signs alternate
     return find(docs).select("doc_id", "n_bytes", removed.alias("n_removed"), (F.size("spans") / 2).cast("long").alias("n_spans"), "kept_sha256")
 
+
+#: The query's rows in plain SQL.
+ORACLE = r"""
+WITH doc AS (
+    SELECT doc_id, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents
+), place AS (
+    SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM doc WHERE n >= 50
+), gram AS (
+    SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS g FROM place
+), first AS (
+    SELECT g, min(doc_id) AS least FROM gram GROUP BY g HAVING min(doc_id) < max(doc_id)
+), hit AS (
+    SELECT gram.doc_id, gram.i FROM gram JOIN first ON first.g = gram.g WHERE first.least < gram.doc_id
+), step AS (
+    SELECT doc_id, i, CASE WHEN lag(i) OVER (PARTITION BY doc_id ORDER BY i) >= i - 50 THEN 0 ELSE 1 END AS opens FROM hit
+), numbered AS (
+    SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM step
+), span AS (
+    SELECT doc_id, span, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY doc_id, span
+), edge AS (
+    SELECT doc_id, a, b, lag(b) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM span
+), kept AS (
+    SELECT e.doc_id, string_agg(substr(d.h, 2 * coalesce(e.before, 0) + 1, 2 * (e.a - coalesce(e.before, 0))), '' ORDER BY e.a) AS head, max(e.b) AS last, sum(e.b - e.a) AS removed, count(*) AS spans
+    FROM edge e JOIN doc d ON d.doc_id = e.doc_id GROUP BY e.doc_id
+)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(k.removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(k.spans, 0) AS BIGINT) AS n_spans,
+    sha256(unhex(coalesce(k.head, '') || substr(d.h, 2 * coalesce(k.last, 0) + 1))) AS kept_sha256
+FROM doc d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""

@@ -310,7 +310,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = members.select(F.lit(0).alias("band"), F.col("leader").alias("key"), "i", "j", "chunk", "node", "n", "samples", "sketch", "shingles")
     links = stored(_by_group(members, ["band", "key", "i", "j"], ["n", "node"], _links_of))
     every = nodes.select("node", "doc_id").join(_components(links, wanted), "node", "left")
-    return rows, every.select("node", F.when(F.col("leader").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("leader", "node").alias("leader"))
+    root = every.select("node", F.when(F.col("leader").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("leader", "node").alias("leader"))
+    return rows, stored(root)  # a plain table, so that Spark can split a join in which one node has very many rows
 
 
 def _components(links: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 import warnings
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, Row, SparkSession
 
-from .errors import InvalidQuery, StorageError, TableNotFound
+from .errors import EvaluationError, InvalidQuery, StorageError, TableNotFound
 from .functions.lowering import Lowering
 from .operators.relational import run
 from .plans.binder import BoundSelect, bind
@@ -21,11 +22,12 @@ class Engine:
     """Tables by exact name, and the dialect's statements over them.
 
     ``extended`` takes ``float <op> integer`` and orders texts and booleans naturally; ``allow_trailing``
-    ignores what follows a statement; ``ieee_nan`` compares NaN and infinities as IEEE 754 has it.
+    ignores what follows a statement; ``ieee_nan`` compares NaN and infinities as IEEE 754 has it. ``data_dir``
+    is where created tables go when they are flushed, and what ``load`` reads; without it they stay in memory.
     """
 
-    def __init__(self, spark: SparkSession, *, extended: bool = False, allow_trailing: bool = False, ieee_nan: bool = False):
-        self.spark, self.extended, self.allow_trailing = spark, extended, allow_trailing
+    def __init__(self, spark: SparkSession, data_dir: str | None = None, *, extended: bool = False, allow_trailing: bool = False, ieee_nan: bool = False):
+        self.spark, self.data_dir, self.extended, self.allow_trailing = spark, data_dir, extended, allow_trailing
         self._lowering = Lowering(extended, ieee_nan)
         self._tables: dict[str, Table] = {}
         spark.conf.set("spark.sql.caseSensitive", "true")
@@ -37,9 +39,23 @@ class Engine:
         """Create an empty table; one of that name is replaced, with a warning."""
         if name in self._tables:
             warnings.warn(f"table {name} is replaced", stacklevel=2)
+        if path is None and self.data_dir:
+            path = f"{self.data_dir.rstrip('/')}/{name}.parquet"
         table = self._tables[name] = MemoryTable(self.spark, name, columns, path)
         return table
 
+    def load(self) -> list[str]:
+        """Register every Parquet table of the data folder under its file's name; gives the names."""
+        if not self.data_dir:
+            raise StorageError("the engine has no data folder")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.data_dir)
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = [f.getPath() for f in files.listStatus(path)] if files.exists(path) else []
+        names = sorted(p.getName().removesuffix(".parquet") for p in found if p.getName().endswith(".parquet"))
+        for name in names:
+            self.register_parquet(name, f"{self.data_dir.rstrip('/')}/{name}.parquet")
+        return names
+
     def drop_table(self, name: str) -> None:
         self._find(name)
         del self._tables[name]
@@ -68,6 +84,10 @@ class Engine:
         """All rows of a table."""
         return self._find(name).df()
 
+    def lookup(self, name: str, column: str, value: object) -> DataFrame:
+        """Rows of a table whose column has a value; a null matches nothing."""
+        return self._find(name).lookup(column, value)
+
     def tables(self) -> list[str]:
         return sorted(self._tables)
 
@@ -96,6 +116,14 @@ class Engine:
         table = self._find(statement.table)
         return run(bind(statement, table.fields, self.extended), table.df(), self._lowering)
 
+    def rows(self, text: str, limit: int | None = None) -> list[Row]:
+        """Run a statement and take its rows to the driver, at most ``limit``; what fails in a row is an EvaluationError."""
+        df = self.sql(text)
+        try:
+            return (df if limit is None else df.limit(limit)).collect()
+        except PySparkException as e:
+            raise EvaluationError(str(e).splitlines()[0]) from e
+
     def explain(self, text: str) -> str:
         """The physical plan that Spark picks."""
         return self.sql(text)._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))

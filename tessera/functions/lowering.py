@@ -20,7 +20,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..plans.binder import ARITHMETIC, BinaryOp, Bound, Col, Const, IsTest
-from ..types import BOOL, FLOAT64, INT64, TIMESTAMP
+from ..types import FLOAT64, INT64, TIMESTAMP
 
 #: Fixed value: two floats closer than this are equal.
 EPSILON = 2.220446049250313e-16
@@ -126,5 +126,3 @@ def _can_fail(expr: Bound) -> bool:
         return expr.op in ARITHMETIC or _can_fail(expr.left) or _can_fail(expr.right)
     return isinstance(expr, IsTest) and _can_fail(expr.expr)
 
-
-__all__ = ["BOOL", "EPSILON", "Lowering"]

@@ -5,9 +5,6 @@ from __future__ import annotations
 import sys
 from typing import TextIO
 
-from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame
-
 from .engine import Engine, column
 from .errors import EngineError
 from .types import BOOL, INT64, render, varchar
@@ -25,13 +22,13 @@ def demo(engine: Engine) -> None:
     engine.insert("users", [(1, "Alice", 30, None), (2, "Bob", None, False), (3, "Charlie", 35, True)])
 
 
-def grid(df: DataFrame, limit: int = ROWS_SHOWN) -> str:
-    """The first rows as a numbered grid. A screen's worth: what the driver takes in has a bound."""
-    rows = df.limit(limit + 1).collect()
+def grid(engine: Engine, text: str, limit: int = ROWS_SHOWN) -> str:
+    """A statement's first rows as a numbered grid. A screen's worth: what the driver takes in has a bound."""
+    rows = engine.rows(text, limit + 1)
     if not rows:
         return "Empty set (0 rows)\n"
     line = lambda first, cells: f"{first:<8}" + "".join(f" | {c:<{CELL}}" for c in cells)
-    lines = [line("Row #", df.columns), "-" * (8 + 15 * len(df.columns))]
+    lines = [line("Row #", names := rows[0].__fields__), "-" * (8 + 15 * len(names))]
     lines += [line(i, map(render, r)) for i, r in enumerate(rows[:limit])]
     if len(rows) > limit:
         lines.append(f"(more than {limit} rows; the rest is not shown)")
@@ -49,8 +46,6 @@ def loop(engine: Engine, source: TextIO = sys.stdin, out: TextIO = sys.stdout) -
         if not text.strip():
             continue
         try:
-            out.write(grid(engine.sql(text)))
+            out.write(grid(engine, text))
         except EngineError as e:
             out.write(f"{e}\n")
-        except PySparkException as e:
-            out.write(f"Evaluation error: {str(e).splitlines()[0]}\n")

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import SerializationError, TypeMismatch
+from ..errors import ColumnNotFound, SerializationError, TypeMismatch
 from ..functions.lowering import quoted
 from ..plans.binder import Field
 from ..sql.syntax import ColumnDef
-from ..types import INT64, accepts, from_spark
+from ..types import accepts, from_spark
 
 
 def scan(df: DataFrame) -> tuple[DataFrame, list[Field]]:
@@ -39,6 +39,15 @@ class Table:
     def df(self) -> DataFrame:
         return self._df
 
+    def lookup(self, column: str, value: object) -> DataFrame:
+        """Rows with a value in a column, exactly; the comparison goes to the file reader."""
+        found = next((f for f in self.fields if f.name == column), None)
+        if found is None:
+            raise ColumnNotFound(column)
+        if found.type is None or not accepts(found.type, value):
+            raise TypeMismatch(f"column {column} expects {found.type}, got {value!r}")
+        return self.df().where(F.col(quoted(column)) == F.lit(value))
+
 
 class MemoryTable(Table):
     """A created table. Inserted rows are checked at once and staged; a scan sees all of them.
@@ -85,5 +94,3 @@ class MemoryTable(Table):
         kept = self.spark.read.schema(self.schema).parquet(self.path)
         return kept.unionByName(self._frame()) if self._staged else kept
 
-
-__all__ = ["INT64", "MemoryTable", "Table", "scan"]

@@ -9,7 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.errors import PySparkException
 
-from tessera import BOOL, FLOAT64, INT64, TEXT, ColumnNotFound, Engine, InvalidQuery, SerializationError, StorageError, TableNotFound, TypeMismatch, column, varchar
+from tessera import BOOL, FLOAT64, INT64, TEXT, ColumnNotFound, Engine, EvaluationError, InvalidQuery, SerializationError, StorageError, TableNotFound, TypeMismatch, column, varchar
 from tessera.functions.lowering import EPSILON
 from tessera.plans.binder import ARITHMETIC, BinaryOp, Col, Const
 from tessera.repl import demo, loop
@@ -167,6 +167,25 @@ def test_tables(spark, tmp_path):
         e.insert("v", [(1,)])
 
 
+def test_data_folder(spark, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    assert e.load() == []
+    e.create_table("t", [column("id", INT64, False), column("name", TEXT)])
+    e.insert("t", [(1, "a"), (2, None), (3, "a")])
+    e.flush("t")
+    other = Engine(spark, str(tmp_path))
+    assert other.load() == ["t"] and sorted(r.id for r in other.lookup("t", "name", "a").collect()) == [1, 3]
+    assert other.lookup("t", "name", None).count() == 0 and e.lookup("t", "id", 2).count() == 1
+    with pytest.raises(ColumnNotFound):
+        other.lookup("t", "x", 1)
+    with pytest.raises(TypeMismatch):
+        other.lookup("t", "id", "1")
+    with pytest.raises(EvaluationError):
+        e.rows("SELECT 1 / (id - 1) FROM t")
+    with pytest.raises(StorageError):
+        Engine(spark).load()
+
+
 def test_unsupported_column(spark):
     e = Engine(spark)
     e.register("v", spark.createDataFrame([(1, [1.0])], "id int, v array<float>"))

@@ -243,16 +243,20 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, carry: dic
     return rows
 
 
+def judge_columns() -> dict[str, Column]:
+    """The counts and the verdict, from the columns of ``find``."""
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
+    return {
+        "n_hit": hit,
+        "n_items": F.size("items").cast("long"),
+        "items_sha256": F.sha2(F.concat_ws(",", "items"), 256),
+        "contaminated": (hit > 0) & (ONE_IN * hit >= F.col("n_words")),
+    }
+
+
 def judge(found: DataFrame) -> DataFrame:
     """The counts and the verdict, beside the columns of ``find`` other than the text."""
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
-    return (
-        found.drop("text")
-        .withColumn("n_hit", hit)
-        .withColumn("n_items", F.size("items").cast("long"))
-        .withColumn("items_sha256", F.sha2(F.concat_ws(",", "items"), 256))
-        .withColumn("contaminated", (F.col("n_hit") > 0) & (ONE_IN * F.col("n_hit") >= F.col("n_words")))
-    )
+    return found.drop("text").withColumns(judge_columns())
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -261,8 +265,11 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that are not contaminated."""
-    found = judge(find(docs, benchmark, carry={"__row": F.struct(*docs.columns)}))
-    return found.where(~F.col("contaminated")).select("__row.*")
+    # the text goes along once, as what is searched
+    rest = [c for c in docs.columns if c != "text"]
+    found = find(docs, benchmark, carry={f"__{i}": F.col(c) for i, c in enumerate(rest)})
+    kept = found.where(~judge_columns()["contaminated"])
+    return kept.select(*[F.col("text") if c == "text" else F.col(f"__{rest.index(c)}").alias(c) for c in docs.columns])
 
 
 _WORD = re.compile(rb"[^ ]+")

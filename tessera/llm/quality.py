@@ -23,6 +23,8 @@ from .common import SPACE, Numbering, blocks, byte_texts, flat, keyed_texts, mix
 
 SAMPLE_DOCS = 1500
 SAMPLE_BYTES = 20_000
+#: Bytes of text that are measured at once.
+STRETCH = 1 << 20
 MIN_WORDS = 20
 WINDOW = 8
 MAX_REPEAT_PERCENT = 30
@@ -94,7 +96,7 @@ def measure(column: pa.Array) -> Lines:
     first[inner] = ~space[inner]  # a text's first byte starts a word whatever stands before it
     count = {}
     for name, mask in (("word", first), ("upper", _UPPER[data]), ("lower", _LOWER[data]), ("mark", _MARK[data]), ("symbol", _SYMBOL[data]), ("digit", _DIGIT[data]), ("char", ~space & _LEAD[data])):
-        count[name] = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
+        count[name] = np.concatenate([[0], np.cumsum(mask, dtype=np.int32)])
     of = lambda name, a, b: count[name][b] - count[name][a]
     words = of("word", starts, ends)
     full = words > 0
@@ -203,15 +205,22 @@ def fit(sample: list[tuple[str, int]], rounds: int = 80, rate: float = 0.25, pen
     field = Field(np.zeros((N_FEATURES, 2)), np.zeros((2, 2)))
     if len({y for _, y in sample}) < 2:
         return field
-    lines = measure(pa.array([t for t, _ in sample], pa.large_string()))
-    labels = np.asarray([y for _, y in sample])[lines.doc]
-    runs = [r[i : i + longest] for r in np.split(np.arange(len(lines.doc)), np.flatnonzero(np.diff(lines.doc)) + 1) for i in range(0, len(r), longest)]
+    texts = pa.RecordBatch.from_arrays([pa.array([t for t, _ in sample], pa.large_string())], names=["text"])
+    parts, doc, before = [], [], 0
+    for block in blocks(iter([texts]), size=STRETCH):
+        lines = measure(block.column("text"))
+        parts.append(lines.features)
+        doc.append(lines.doc + before)
+        before += block.num_rows
+    features, doc = np.concatenate(parts), np.concatenate(doc)
+    labels = np.asarray([y for _, y in sample])[doc]
+    runs = [r[i : i + longest] for r in np.split(np.arange(len(doc)), np.flatnonzero(np.diff(doc)) + 1) for i in range(0, len(r), longest)]
     n, t = len(runs), max(map(len, runs))
     place = np.zeros((n, t), int)
     on = np.zeros((n, t), bool)
     for i, r in enumerate(runs):
         place[i, : len(r)], on[i, : len(r)] = r, True
-    x, y = lines.features[place], labels[place]
+    x, y = features[place], labels[place]
     both = on[:, 1:]
     theta = np.zeros(2 * N_FEATURES + 4)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
@@ -252,40 +261,42 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, docs_at_most: int = SAMP
     return [(r.text, r.quality) for r in rows]
 
 
-def score(docs: DataFrame, field: Field, min_share: float = MIN_CONTENT_SHARE, extra: list[str] = ()) -> DataFrame:
+def score(docs: DataFrame, field: Field, min_share: float = MIN_CONTENT_SHARE) -> DataFrame:
     """Base counts and verdict of every row, in one pass without a shuffle.
 
     A null text has no words, so it fails the base rules; rows with equal ids each get a row; a null id stays
-    null; an empty table gives an empty one. ``extra`` names columns of ``docs`` to carry along, unread.
+    null; an empty table gives an empty one; other columns stay behind.
     """
-    own = keyed_texts(docs).columns
-    clash = [c for c in extra if c in own]
-    if clash:
-        raise ValueError(f"can't carry {clash}: these names are taken")
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
-            found = measure(block.column("text"))
-            n = block.num_rows
-            scores = field.scores(found.features) if len(found.doc) else np.zeros((0, 2))
-            states = np.zeros(len(found.doc), np.int64)
-            cut = np.flatnonzero(np.diff(found.doc)) + 1
-            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(found.doc)], strict=True):
-                if b > a:
-                    states[a:b] = field.decode(scores[a:b])
-            content = np.bincount(found.doc, found.words * states, n).astype(np.int64)
-            share = content / np.maximum(found.n_words, 1)
-            failed = (found.n_words < MIN_WORDS) | (100 * found.n_repeat_words > MAX_REPEAT_PERCENT * found.n_words)
-            out = [block.column("doc_id"), *map(pa.array, (found.n_words, found.word_chars, found.n_symbols, found.n_dup_lines, found.n_repeat_words, failed, content, share, ~failed & (share >= min_share)))]
-            yield pa.RecordBatch.from_arrays([*out, *(block.column(c) for c in extra)], names=[*(c.split()[0] for c in SCHEMA.split(", ")), *extra])
-
-    kinds = dict(source.dtypes)
-    return source.mapInArrow(run, ", ".join([SCHEMA, *(f"`{c}` {kinds[c]}" for c in extra)]))
-
-
-def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose texts pass. The texts go through the model once, beside their columns."""
+        for block in blocks(batches, size=STRETCH):
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), *_judged(block.column("text"), field, min_share)], names=[c.split()[0] for c in SCHEMA.split(", ")])
+
+    return keyed_texts(docs).mapInArrow(run, SCHEMA)
+
+
+def _judged(texts: pa.Array, field: Field, min_share: float) -> list[pa.Array]:
+    """The columns of ``SCHEMA`` after the id."""
+    found = measure(texts)
+    n = len(texts)
+    scores = field.scores(found.features) if len(found.doc) else np.zeros((0, 2))
+    states = np.zeros(len(found.doc), np.int64)
+    cut = (np.flatnonzero(np.diff(found.doc)) + 1).tolist()
+    for a, b in zip([0, *cut], [*cut, len(found.doc)], strict=True):
+        if b > a:
+            states[a:b] = field.decode(scores[a:b])
+    content = np.bincount(found.doc, found.words * states, n).astype(np.int64)
+    share = content / np.maximum(found.n_words, 1)
+    failed = (found.n_words < MIN_WORDS) | (100 * found.n_repeat_words > MAX_REPEAT_PERCENT * found.n_words)
+    return list(map(pa.array, (found.n_words, found.word_chars, found.n_symbols, found.n_dup_lines, found.n_repeat_words, failed, content, share, ~failed & (share >= min_share))))
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, min_share: float = MIN_CONTENT_SHARE) -> DataFrame:
+    """The rows of ``docs``, all columns, whose texts pass. A text goes to the model once, and comes back only if it passes."""
     field = fit(labelled_sample(docs, labels))
-    held = docs.select(F.col("doc_id"), F.col("text"), F.struct(*docs.columns).alias("__row"))
-    return score(held, field, extra=["__row"]).where("kept").select("__row.*")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, size=STRETCH):
+            yield block.filter(_judged(block.column("text"), field, min_share)[-1])
+
+    return docs.mapInArrow(run, docs.schema)

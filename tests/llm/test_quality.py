@@ -5,7 +5,6 @@ import itertools
 import re
 
 import numpy as np
-import pytest
 
 from tessera.llm import quality as Q
 from tessera.llm.common import read
@@ -72,8 +71,3 @@ def test_sample_is_bounded_and_needs_both_classes(spark):
     assert len(sample) == 7 and sample == Q.labelled_sample(docs, labels, docs_at_most=7)
     kept = Q.keep_quality(docs.selectExpr("*", "1 AS n_words"), labels.limit(0))
     assert kept.columns == ["doc_id", "text", "n_words"] and kept.count() == 0  # they repeat themselves
-
-
-def test_taken_name(spark):
-    with pytest.raises(ValueError, match="taken"):
-        Q.score(spark.createDataFrame([(1, "x")], "doc_id long, text string"), Q.fit([]), extra=["text"])

@@ -29,6 +29,8 @@ SEED = 17
 #: Hash buckets of a pattern, and the documents on either side of the cut whose choice may change to fill a remainder.
 BUCKETS = 1 << 12
 FILLERS = 40
+#: The table of patterns goes to the driver, if it is no longer than this.
+MAX_PATTERNS = 1_000_000
 
 
 def targets(sizes: list[int], weights: list[int], most: int = MAX_PASSES) -> list[Fraction]:
@@ -50,8 +52,22 @@ def targets(sizes: list[int], weights: list[int], most: int = MAX_PASSES) -> lis
 def route(supply: list[int], members: list[list[int]], quota: list[int], passes: int = MAX_PASSES) -> list[dict[int, int]]:
     """Words that each pattern gives to each of its sources: a flow of most words at least cost, the k-th pass of a pattern costing k a word.
 
-    Successive shortest paths with potentials over the graph pattern - source.
+    A pattern that shares no source with another is settled at once; the rest is solved by successive shortest
+    paths with potentials over the graph pattern - source.
     """
+    users = [0] * len(quota)
+    for ms in members:
+        for s in ms:
+            users[s] += 1
+    alone = [len(ms) == 1 and users[ms[0]] == 1 for ms in members]
+    rest = [p for p in range(len(supply)) if not alone[p]]
+    found = [{ms[0]: min(quota[ms[0]], passes * supply[p])} if alone[p] else {} for p, ms in enumerate(members)]
+    for p, give in zip(rest, _route([supply[p] for p in rest], [members[p] for p in rest], quota, passes), strict=True):
+        found[p] = give
+    return found
+
+
+def _route(supply: list[int], members: list[list[int]], quota: list[int], passes: int) -> list[dict[int, int]]:
     n, m = len(supply), len(quota)
     start, sink = n + m, n + m + 1
     to, capacity, cost, out = [], [], [], [[] for _ in range(n + m + 2)]
@@ -147,8 +163,11 @@ def solve(patterns: list[tuple[str, int]], weights: tuple[int, ...] = WEIGHTS) -
 
 
 def totals(rows: DataFrame) -> list[tuple[str, int]]:
-    """The table of patterns with their words; its length is bound by the sources, not by the documents."""
-    return [(r.pattern, r.words) for r in rows.groupBy("pattern").agg(F.sum("size").alias("words")).orderBy("pattern").collect()]
+    """The table of patterns with their words. Sources name where text is from; a column with more than ``MAX_PATTERNS`` is refused."""
+    found = rows.groupBy("pattern").agg(F.sum("size").alias("words")).limit(MAX_PATTERNS + 1).collect()
+    if len(found) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} sets of sources")
+    return sorted((r.pattern, r.words) for r in found)
 
 
 def passes(rows: DataFrame, plan: Plan, light: DataFrame | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Numbering, blocks, byte_texts, stored, total_bytes
+from .common import Numbering, blocks, byte_texts, stored, to_python, total_bytes
 
 WINDOW = 13
 #: Bytes of text in an indexed shard, and of item text in a block of phrases.
@@ -239,7 +239,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, carry: dic
     schema = ", ".join(["doc_id long, text string, n_words long, spans array<array<long>>, items array<string>", *(f"`{k}` {t}" for k, t in kinds.items())])
     for k in range(n):
         block = [(r.item, r.text) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()]
-        rows = rows.mapInArrow(_pass(Phrases(block, window), list(carry), k == 0), schema)
+        rows = to_python(rows, _pass(Phrases(block, window), list(carry), k == 0), schema)
     return rows
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks
+from .common import blocks, to_python
 
 WIDTH = 3
 #: Characters in a window from which a stretch of text may begin.
@@ -259,4 +259,4 @@ def main_text(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([block.column("page_id"), block.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(run, SCHEMA)
+    return to_python(rows, run, SCHEMA)

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import blocks, keyed_texts
+from .common import blocks, keyed_texts, to_python
 
 SCHEMA = "doc_id long, n_sentences long, sentence_ids string, licenses string, verdict string"
 
@@ -213,4 +213,4 @@ def scan(docs: DataFrame) -> DataFrame:
             columns = [pa.array([len(i) for i, _, _ in found], pa.int64()), pa.array([",".join(i) for i, _, _ in found], pa.string()), pa.array([",".join(n) for _, n, _ in found], pa.string()), pa.array([v for *_, v in found], pa.string())]
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), *columns], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return keyed_texts(docs).mapInArrow(run, SCHEMA)
+    return to_python(keyed_texts(docs), run, SCHEMA)

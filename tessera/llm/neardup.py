@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_texts, keyed_texts, mix, multipliers, stored
+from .common import blocks, byte_texts, keyed_texts, mix, multipliers, stored, to_python
 from .components import components
 
 SHINGLE = 5
@@ -43,7 +43,7 @@ BLOCK_SHINGLES = 2_000_000
 #: A table of at most so many ids is sent to all tasks; a larger one is shuffled.
 BROADCAST_ROWS = 500_000
 #: Words whose hashes a worker remembers.
-CACHE = 500_000
+CACHE = 200_000
 
 #: Bytes with ASCII letters in lower case.
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -112,7 +112,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(bands)))
             yield pa.RecordBatch.from_arrays([*(block.column(c) for c in ("doc_id", "text_a", "text_b")), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), keys, pa.array(samples, pa.int32()), pa.array(sketches, pa.binary())], names=[c.split()[0] for c in SIGNATURE.split(", ")])
 
-    return keyed_texts(docs).select("*", *_text_key(F.col("text"))).mapInArrow(run, SIGNATURE)
+    return to_python(keyed_texts(docs).select("*", *_text_key(F.col("text"))), run, SIGNATURE)
 
 
 def _text_key(text: Column) -> list[Column]:
@@ -213,7 +213,7 @@ def _by_group(rows: DataFrame, key: list[str], order: list[str], answer: Callabl
         if held:
             yield answer(pa.Table.from_batches(held).combine_chunks())
 
-    return rows.repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(run, "a binary, b binary").distinct()
+    return to_python(rows.repartition(*key).sortWithinPartitions(*key, *order), run, "a binary, b binary").distinct()
 
 
 def _blocks(rows: DataFrame, chunks: Column) -> DataFrame:
@@ -285,7 +285,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             names = [hashlib.blake2b(s, digest_size=16).digest() if s else None for s in found]
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(found, pa.binary())], names=["node", "shingles"])
 
-    rows = some.mapInArrow(run, "node binary, shingles binary").join(wanted.select("node"), "node", "left_semi")
+    rows = to_python(some, run, "node binary, shingles binary").join(wanted.select("node"), "node", "left_semi")
     return rows.dropDuplicates(["node"])
 
 

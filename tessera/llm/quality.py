@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Numbering, blocks, byte_texts, flat, keyed_texts, mix, multipliers, word_ids
+from .common import SPACE, Numbering, blocks, byte_texts, flat, keyed_texts, mix, multipliers, to_python, word_ids
 
 SAMPLE_DOCS = 1500
 SAMPLE_BYTES = 20_000
@@ -272,7 +272,7 @@ def score(docs: DataFrame, field: Field, min_share: float = MIN_CONTENT_SHARE) -
         for block in blocks(batches, size=STRETCH):
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), *_judged(block.column("text"), field, min_share)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return keyed_texts(docs).mapInArrow(run, SCHEMA)
+    return to_python(keyed_texts(docs), run, SCHEMA)
 
 
 def _judged(texts: pa.Array, field: Field, min_share: float) -> list[pa.Array]:
@@ -299,4 +299,4 @@ def keep_quality(docs: DataFrame, labels: DataFrame, min_share: float = MIN_CONT
         for block in blocks(batches, size=STRETCH):
             yield block.filter(_judged(block.column("text"), field, min_share)[-1])
 
-    return docs.mapInArrow(run, docs.schema)
+    return to_python(docs, run, docs.schema)

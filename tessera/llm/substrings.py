@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, keyed_texts, total_bytes
+from .common import flat, keyed_texts, release, to_python, total_bytes
 
 LENGTH = 50
 GRAM = 24
@@ -284,6 +284,15 @@ def _search(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "mask": table.column("mask"), "bits": pa.array(search_bucket(table.column("blob").to_pylist()), pa.binary())})
 
 
+def _tidied(step: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    def run(*tables: pa.Table) -> pa.Table:
+        out = step(*tables)
+        release()
+        return out
+
+    return run
+
+
 def find(docs: DataFrame, keep: bool = False) -> DataFrame:
     """Of every row: doc_id, n_bytes, the byte spans to remove (start, end, ...), the digest of what stays, and with ``keep`` those bytes.
 
@@ -353,14 +362,14 @@ def find(docs: DataFrame, keep: bool = False) -> DataFrame:
         return pa.table(columns | ({"kept": pa.array(kept, pa.binary())} if keep else {}))
 
     def to_buckets(rows: DataFrame, answer: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
-        return rows.repartition("bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(_by_bucket(answer), schema)
+        return to_python(rows.repartition("bucket").sortWithinPartitions("bucket", "chunk"), _by_bucket(answer), schema)
 
     grouped = rows.groupBy("chunk")
-    sent = grouped.applyInArrow(anchors, "chunk int, bucket int, keys binary, flags binary")
+    sent = grouped.applyInArrow(lambda rows: _tidied(anchors)(rows), "chunk int, bucket int, keys binary, flags binary")
     shared = to_buckets(sent, _share, "chunk int, bucket int, mask binary")
-    runs = grouped.cogroup(shared.groupBy("chunk")).applyInArrow(send, "chunk int, bucket int, mask binary, blob binary")
+    runs = grouped.cogroup(shared.groupBy("chunk")).applyInArrow(lambda rows, more: _tidied(send)(rows, more), "chunk int, bucket int, mask binary, blob binary")
     answers = to_buckets(runs, _search, "chunk int, bucket int, mask binary, bits binary")
-    return grouped.cogroup(answers.groupBy("chunk")).applyInArrow(cut, schema)
+    return grouped.cogroup(answers.groupBy("chunk")).applyInArrow(lambda rows, more: _tidied(cut)(rows, more), schema)
 
 
 def report(docs: DataFrame) -> DataFrame:

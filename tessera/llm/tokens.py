@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, blocks, flat, keyed_texts, mix, shared_folder
+from .common import SPACE, blocks, flat, keyed_texts, mix, shared_folder, to_python
 
 END_ID = 2
 STRIDE = 1000
 STRIPE_BYTES = 16 << 20
 #: Pieces whose ids a worker remembers; beyond it only those that came up twice or more stay.
-CACHE = 700_000
+CACHE = 500_000
 #: Unknown pieces that are encoded as one string.
 JOINED = 2000
 FILE_SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
@@ -239,7 +239,7 @@ def write(docs: DataFrame, spec: str, path: str, end: int = END_ID) -> None:
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("part"), pa.array(before + offsets[:-1]), pa.array(np.diff(offsets)), column], names=[c.split()[0] for c in FILE_SCHEMA.split(", ")])
             before += int(offsets[-1])
 
-    writer = ordered.mapInArrow(encode, FILE_SCHEMA).write.option("compression", "lz4")
+    writer = to_python(ordered, encode, FILE_SCHEMA).write.option("compression", "lz4")
     for key, value in (("stripe.size", STRIPE_BYTES), ("row.index.stride", STRIDE), ("create.index", "true"), ("bloom.filter.columns", "doc_id"), ("bloom.filter.fpp", 0.01)):
         writer = writer.option(f"orc.{key}", value)
     writer.orc(path)
@@ -267,7 +267,7 @@ def digest(files: DataFrame) -> DataFrame:
             crc = [zlib.crc32(view[i:j]) for i, j in zip(at, at[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("part"), b.column("local_start"), pa.array(np.diff(ends)), pa.array(crc, pa.int64())], names=["doc_id", "part", "local_start", "n_tokens", "ids_crc32"])
 
-    rows = files.select("doc_id", "part", "local_start", "ids").mapInArrow(sums, "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long")
+    rows = to_python(files.select("doc_id", "part", "local_start", "ids"), sums, "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long")
     return rows.join(F.broadcast(parts), "part").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Bytes of text that a Python worker handles at once (a longer text is a block of its own).
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: The six ASCII white-space bytes; every other byte is part of a word.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -29,7 +29,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 #: Rows of an Arrow batch. Texts can be long, and a batch is held whole on either side of the socket.
-BATCH_ROWS = 1000
+BATCH_ROWS = 250
 
 
 def to_python(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:

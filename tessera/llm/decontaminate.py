@@ -24,7 +24,7 @@ from .common import Numbering, blocks, byte_texts, stored, to_python, total_byte
 
 WINDOW = 13
 #: Bytes of text in an indexed shard, and of item text in a block of phrases.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 PHRASE_BYTES = 4 << 20
 SAMPLE = 16
 #: A text is contaminated when at least one in so many of its words is hit.

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Numbering, blocks, byte_texts, flat, keyed_texts, mix, multipliers, to_python, word_ids
+from .common import SPACE, Numbering, blocks, byte_texts, flat, keyed_texts, mix, multipliers, release, to_python, word_ids
 
 SAMPLE_DOCS = 1500
 SAMPLE_BYTES = 20_000
@@ -247,6 +247,7 @@ def fit(sample: list[tuple[str, int]], rounds: int = 80, rate: float = 0.25, pen
         g = np.concatenate([grad.ravel(), pair.sum((0, 1)).ravel()]) / on.sum() + penalty * theta
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    release()
     return Field(theta[:-4].reshape(-1, 2), theta[-4:].reshape(2, 2))
 
 

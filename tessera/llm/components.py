@@ -27,14 +27,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u != v").distinct()
 
 
+def _is_star(edges: DataFrame) -> bool:
+    """Whether every vertex is either a root or tied to one root: nothing is left to do."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(vertex, root) for every vertex of the edges (u, v); a root is the smallest vertex of its component, and its own too."""
     edges = stored(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = None
-    while True:
+    while not _is_star(edges):
         edges = stored(_star(_star(edges, True), False))
-        mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
-            break
-        seen = mark
     return edges.select(F.col("u").alias("vertex"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("vertex"), F.col("v").alias("root"))).distinct()

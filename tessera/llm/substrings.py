@@ -41,8 +41,8 @@ GRAM = 24
 #: Bytes of text in a chunk, and in the stretches of it that are hashed at once.
 CHUNK = 4 << 20
 STRETCH = 1 << 18
-#: Buckets are two to a power between these.
-BUCKET_BITS = (8, 18)
+#: There are about four buckets for each chunk, two to a power between these.
+BUCKET_BITS = (6, 18)
 #: Suffixes in a batch of an index family.
 BATCH = 1 << 17
 #: The place of a document without an id: after all others.
@@ -301,7 +301,7 @@ def find(docs: DataFrame, keep: bool = False) -> DataFrame:
     """
     rows = keyed_texts(docs)
     chunks = max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(total_bytes(rows, "text") / CHUNK))
-    bits = min(max(math.ceil(math.log2(chunks)), BUCKET_BITS[0]), BUCKET_BITS[1])
+    bits = min(max(math.ceil(math.log2(chunks)) + 2, BUCKET_BITS[0]), BUCKET_BITS[1])
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
     schema = "doc_id long, n_bytes long, spans array<long>, kept_sha256 string" + ", kept binary" * keep
 

@@ -18,9 +18,6 @@ from .common import blocks, keyed_texts, to_python
 
 SCHEMA = "doc_id long, n_sentences long, sentence_ids string, licenses string, verdict string"
 
-#: A text without any of these has no licence sentence, so it is not split at all. Every known sentence has one.
-STEMS = re.compile(r"licen[cs]|copyright|spdx|permission|redistribut|warrant|liab|public domain|rights reserved|creative commons|as is|confidential|©", re.IGNORECASE)
-
 #: Names of licences in running text, normalised, and what they are called here. The first that fits counts.
 NAMES = [
     (r"(?:gnu )?affero general public license,? ?(?:version |v)?3(?:\.0)?|(?:gnu )?agpl[ -]?v?3(?:\.0)?", "AGPL-3.0"),
@@ -50,7 +47,8 @@ NAMES = [
 ]
 _TAIL = r"(?: (?:or|and) (?:\(at your option\) )?(?:any )?later(?: versions?)?|\+|[ -]or-later|[ -]only)?(?: (?:international|universal|unported))?(?: (?:public )?license| licenses)?(?: \(.{1,40}\))?(?:[,;:].*)?"
 _SUBJECT = r"(?:(?:this|the|our|all) (?:file|files|work|works|software|project|program|document|documentation|text|code|source code|content|library|module|package|article|page|data|dataset)|it|content|code|text)"
-_GRANT = rf"(?:{_SUBJECT} (?:is|are|may be|has been|have been) (?:dual[ -])?|(?:unless otherwise noted, )?)(?:licensed|released|distributed|redistributed|published|provided|available|made available|used|covered)(?: to you)?(?: by .{{1,40}})? (?:under|by)(?: the)?(?: terms(?: and conditions)? of)?(?: (?:the|a|an))? "
+_VERB = r"(?:licensed|released|distributed|redistributed|published|provided|available|made available|used|covered)(?: to you)?(?: by .{1,40})? (?:under|by)"
+_GRANT = rf"(?:{_SUBJECT} (?:is|are|may be|has been|have been) (?:dual[ -])?|(?:unless otherwise noted, )?){_VERB}(?: the)?(?: terms(?: and conditions)? of)?(?: (?:the|a|an))? "
 
 #: Sentences of the licences' own texts and of notices, normalised, with a gap where they name someone.
 SENTENCES = [
@@ -117,6 +115,21 @@ _GRANTS = [(name, re.compile(_GRANT + f"(?:{pattern}){_TAIL}")) for pattern, nam
 _RULES = [(name, [(i.rstrip("?"), i.endswith("?")) for i in rule.split()]) for name, rule in RULES]
 
 
+def _stems(pattern: str) -> list[str]:
+    """Pieces of which every match of a pattern holds one: the longest outside of its groups, or else the choices of its first group that may not be missing."""
+    flat = re.sub(r"\\.|\[[^\]]*\]", "\0", pattern)
+    while (inner := re.sub(r"\([^()]*\)", "\0", flat)) != flat:
+        flat = inner
+    if found := re.findall(r"(?<![a-z])[a-z][a-z ,;:/\"'-]+[a-z](?![a-z?*{])", flat):
+        return [max(found, key=len)]
+    must = re.sub(r"^(?:\((?:[^()\\]|\\.|\([^()]*\))*\)\?)+", "", pattern)
+    return re.match(r"\(\?:((?:[^()\\]|\\.)+)\)", must)[1].split("|")
+
+
+#: A normalised text without any of these has no licence sentence, so it is not split at all.
+STEMS = re.compile("|".join([*sorted({stem for _, pattern in SENTENCES for stem in _stems(pattern)}), _VERB]))
+
+
 def normalise(sentence: str) -> str:
     """Lower case, straight quotes, one spelling, single spaces, no final mark."""
     s = _SPACE.sub(" ", sentence).strip().lower()
@@ -148,14 +161,14 @@ def sentence_ids(text: str) -> list[str]:
     A sentence ends at a mark, a colon that ends its line, or an empty line. Where a line without an end runs into a licence sentence on the
     next, the sentence is tried from each of its lines on.
     """
-    if not STEMS.search(text):
-        return []
     text = _LEAD.sub("", text)
+    if not STEMS.search(normalise(text)):
+        return []
     found, at = [], 0
     for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
         sentence, at = text[at:end], end
-        while sentence and STEMS.search(sentence):
-            if name := identify(normalise(sentence)):
+        while sentence and STEMS.search(known := normalise(sentence)):
+            if name := identify(known):
                 found.append(name)
                 break
             sentence = sentence.partition("\n")[2]

@@ -60,6 +60,58 @@ def test_documents(spark):
     assert got == want and sum(map(bool, want.values())) > 200
 
 
+EXAMPLES = {
+    "SpdxTag": "SPDX-License-Identifier: MIT",
+    "Copyright": "(c) 2021 Acme",
+    "AllRights": "All rights\nreserved.",
+    "MitGrant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.",
+    "MitNotice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "MitWarranty": 'The software is provided "as is", without warranty of any kind.',
+    "MitLiability": "In no event shall the authors or copyright holders be liable for any claim.",
+    "IscGrant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "IscWarranty": 'The software is provided "as is" and the author disclaims all warranties.',
+    "IscLiability": "In no event shall the author be liable for any special, direct, indirect damages.",
+    "BsdGrant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "BsdSource": "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "BsdBinary": "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation.",
+    "BsdEndorse": "3. Neither the name of Acme may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "BsdWarranty": 'This software is provided by Acme "as is" and any express or implied warranties are disclaimed.',
+    "BsdLiability": "In no event shall Acme be liable for any direct, indirect, incidental damages.",
+    "GplGrant": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 2 of the License.",
+    "GplWarranty": "This program is distributed in the hope that it will be useful, but without any warranty.",
+    "GplDetails": "See the GNU General Public License for more details.",
+    "GplCopy": "You should have received a copy of the GNU General Public License.",
+    "ApacheGrant": 'Licensed under the Apache License, Version 2.0 (the "License").',
+    "ApacheUse": "You may not use this file except in compliance with the License.",
+    "ApacheCopy": "You may obtain a copy of the License at:",
+    "ApacheWarranty": 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS.',
+    "ApacheLimits": "See the License for the specific language governing permissions and limitations under the License.",
+    "MplGrant": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "MplCopy": "If a copy of the MPL was not distributed with this file, get one elsewhere.",
+    "ZlibWarranty": "This software is provided 'as-is', without any express or implied warranty.",
+    "PublicDomain": "This text is in the public\ndomain.",
+    "Confidential": "Proprietary and confidential.",
+    "NoCopying": "Unauthorized copying of this file, via any medium is strictly prohibited.",
+}
+IDS = {"SpdxTag": "Spdx:mit", "GplGrant": "Gpl:GPL-2.0"}
+
+
+@pytest.mark.parametrize("name", [name for name, _ in L.SENTENCES])
+def test_every_known_sentence_is_found(name):
+    assert L.scan_text(EXAMPLES[name])[0] == [IDS.get(name, name)]
+
+
+def test_sentence_without_the_word_licence():
+    assert L.scan_text(EXAMPLES["NoCopying"])[1:] == (["Proprietary"], "proprietary")
+
+
+@pytest.mark.parametrize("verb", "licensed released distributed redistributed published provided available used covered".split() + ["made available"])
+@pytest.mark.parametrize("name,licence,verdict", [("CC BY-NC 4.0", "CC-BY-NC", "noncommercial"), ("CC BY-SA 4.0", "CC-BY-SA", "copyleft"), ("GPLv3", "GPL-3.0", "copyleft")])
+def test_every_grant_verb_is_found(verb, name, licence, verdict):
+    assert L.scan_text(f"This work is {verb}\n# under {name}.")[1:] == ([licence], verdict)
+    assert L.scan_text(f"This code is {verb} by Acme under {name}.")[1:] == ([licence], verdict)
+
+
 def test_rules_come_before_what_they_contain():
     for k, (_, rule) in enumerate(L._RULES):
         need = [i for i, optional in rule if not optional]

@@ -107,11 +107,15 @@ RULES = [
 KINDS = ["none", "permissive", "copyleft", "noncommercial", "proprietary", "unknown"]
 _COPYLEFT = ("GPL", "LGPL", "AGPL", "MPL", "EPL", "CC-BY-SA")
 
+#: Characters of a sentence, normalised, in which each pattern that can go on without end has found all that it asks for, and each other one has ended.
+HEAD = 600
 _LEAD = re.compile(r"^[ \t]*(?:[#*;%!>|]+|//+|--+|/\*+|\"\"\"|''')?[ \t]*(?:\*/)?", re.MULTILINE)
 _END = re.compile(r"(?<!\binc)(?<!\bltd)(?<!\bcorp)(?<!\bco)(?<! v)[.!?](?=[\"')]*(?:\s|\Z))|:(?=[ \t]*\n)|\n[ \t]*\n", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
 _KNOWN = [(name, re.compile(pattern)) for name, pattern in SENTENCES]
 _GRANTS = [(name, re.compile(_GRANT + f"(?:{pattern}){_TAIL}")) for pattern, name in NAMES]
+_ORDER = {name: k for k, name in enumerate([*(name for name, _ in SENTENCES), *(f"Grant:{name}" for _, name in NAMES)])}
+_BEGINS = re.compile("|".join(re.sub(r"\?P<[a-z]+>", "?:", pattern) for _, pattern in SENTENCES) + f"|{_GRANT}(?:{'|'.join(pattern for pattern, _ in NAMES)})")
 _RULES = [(name, [(i.rstrip("?"), i.endswith("?")) for i in rule.split()]) for name, rule in RULES]
 
 
@@ -158,8 +162,8 @@ def identify(sentence: str) -> str | None:
 def sentence_ids(text: str) -> list[str]:
     """Identifiers of a text's licence sentences, in order.
 
-    A sentence ends at a mark, a colon that ends its line, or an empty line. Where a line without an end runs into a licence sentence on the
-    next, the sentence is tried from each of its lines on.
+    A sentence ends at a mark, a colon that ends its line, or an empty line, or where a line ends: lines that run into a licence
+    sentence or follow it without an end between them are not part of it.
     """
     text = _LEAD.sub("", text)
     if not STEMS.search(normalise(text)):
@@ -167,11 +171,40 @@ def sentence_ids(text: str) -> list[str]:
     found, at = [], 0
     for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
         sentence, at = text[at:end], end
-        while sentence and STEMS.search(known := normalise(sentence)):
-            if name := identify(known):
-                found.append(name)
-                break
-            sentence = sentence.partition("\n")[2]
+        if STEMS.search(normalise(sentence)):
+            found += _in_lines(sentence.split("\n"))
+    return found
+
+
+def _in_lines(lines: list[str]) -> list[str]:
+    """Identifiers of the sentences that whole lines in a row make up, in order.
+
+    From the last line to the first, each line learns the sentence that begins with it and ends before the next one begins, of
+    several the longest by the first pattern that fits; if none does, the shortest that goes on beyond. ``AllRights`` begins with whatever stands before it, so it ends no other sentence.
+    """
+    known = [normalise(line) for line in lines]
+    begins, here = len(lines), {}
+    for i in range(len(lines) - 1, -1, -1):
+        # what a pattern asks for is within HEAD characters of its beginning, so a longer run of lines has no other sentence
+        end, size = i, 0
+        while end < len(lines) and (end == i or size < HEAD):
+            size += len(known[end]) + 1
+            end += 1
+        if not _BEGINS.match(normalise("\n".join(lines[i:end]))):
+            continue
+        within, beyond = range(min(begins, end), i, -1), range(begins + 1, end + 1)
+        names = [(n, j) for j in within if (n := identify(normalise("\n".join(lines[i:j]))))]
+        # the first pattern that fits counts, as in a sentence with marks
+        name, stop = min(names, key=lambda f: _ORDER.get(f[0], 0), default=None) or next(((n, j) for j in beyond if (n := identify(normalise("\n".join(lines[i:j]))))), (None, i))
+        if name:
+            here[i] = name, stop
+            if name != "AllRights":
+                begins = i
+    found, i = [], 0
+    while i < len(lines):
+        name, i = here.get(i, (None, i + 1))
+        if name:
+            found.append(name)
     return found
 
 

@@ -112,6 +112,31 @@ def test_every_grant_verb_is_found(verb, name, licence, verdict):
     assert L.scan_text(f"This code is {verb} by Acme under {name}.")[1:] == ([licence], verdict)
 
 
+CODE = "#include <stdio.h>\nint main(void)\n{\n    return 0;\n}\n"
+IN_LINES = [
+    ("// SPDX-License-Identifier: MIT\n" + CODE, ["Spdx:mit"], "permissive"),
+    ("// SPDX-License-Identifier: MIT\n// Copyright (c) 2020 Some One\n" + CODE, ["Spdx:mit", "Copyright"], "permissive"),
+    ("# Copyright 2020 Some One\n# SPDX-License-Identifier: GPL-2.0\nimport os\n", ["Copyright", "Spdx:gpl-2.0"], "copyleft"),
+    ("Copyright 2019 Some One\nCopyright 2020 Some One Else\nmore", ["Copyright", "Copyright"], "none"),
+    ("Released under the MIT License\nmore text", ["Grant:MIT"], "permissive"),
+    ("some text\nThis work is licensed\nunder CC BY-NC 4.0\nmore text\nUsed under the MIT License\nmore", ["Grant:CC-BY-NC", "Grant:MIT"], "noncommercial"),
+    ("Licensed under the GNU General Public License,\nversion 2\n" + CODE, ["Grant:GPL-2.0"], "copyleft"),
+    (GPL[:-1] + "\n" + CODE, ["Gpl:GPL-3.0-or-later"], "copyleft"),
+    ("Copyright (c) 2015, Some One\nAll rights reserved.\n\n" + BSD, ["Copyright", "BsdGrant", "BsdSource", "BsdBinary"], "permissive"),
+    ("Copyright (c) 2020 Some One\n" + MIT.partition("\n\n")[2], ["Copyright", "MitGrant", "MitNotice", "MitWarranty", "MitLiability"], "permissive"),
+]
+
+
+@pytest.mark.parametrize("text,ids,verdict", IN_LINES)
+def test_sentence_ends_with_its_line(text, ids, verdict):
+    assert L.scan_text(text)[::2] == (ids, verdict)
+
+
+def test_many_lines_without_a_mark():
+    assert len(L.scan_text("Copyright 2020\n" * 20_000)[0]) == 20_000
+    assert L.scan_text("released under the mit x\n" * 2000)[0] == []
+
+
 def test_rules_come_before_what_they_contain():
     for k, (_, rule) in enumerate(L._RULES):
         need = [i for i, optional in rule if not optional]

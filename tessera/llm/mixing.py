@@ -4,8 +4,8 @@ Documents are aggregated by membership pattern, the set of sources that a docume
 can give its words once, twice or three times, each pass dearer than the one before; a flow from patterns to
 source quotas of least cost says how many words each pattern gives to each source. The driver sees only
 the table of patterns. A pattern's words are then made up of whole documents: every document in the full
-passes, and in the last, partial pass those whose seeded hash is below a cut. Around the cut a bounded
-run of documents is searched for the ones that fill what is left.
+passes, and in the last, partial pass those whose seeded hash is below the cut of their size class. Around the
+cuts a bounded run of documents is searched for the ones that fill what is left.
 """
 
 from __future__ import annotations
@@ -173,30 +173,27 @@ def totals(rows: DataFrame) -> list[tuple[str, int]]:
 def passes(rows: DataFrame, plan: Plan, light: DataFrame | None = None) -> DataFrame:
     """``rows`` (of ``draws``) with a column ``passes``: how often the mix takes the row.
 
-    One look at (pattern, bucket) sums, over ``light`` (the same rows without what they carry), finds each
-    pattern's cut; only the rows in the buckets around it, about ``FILLERS`` on either side and one bucket, are
-    gathered and searched. The rest of the rows learn their passes from a table with one line for each pattern.
+    One look at the sums of (pattern, bucket, size class) finds the cut of each class, so that a document too long for what is left
+    closes its own class only; the rows of the buckets around these cuts, about ``FILLERS`` on either side and one bucket, and of
+    the bucket with the class's smallest document that is left, are gathered and searched. When the search ends, no document that the
+    partial pass leaves out would fit. The rest of the rows learn their passes from a table with one line for each pattern and class.
     """
     light = light if light is not None else rows
     schema = "pattern string, full long, part long"
     parts = rows.sparkSession.createDataFrame([(k, f, p) for k, f, p, _ in plan.patterns], schema)
-    order = W.partitionBy("pattern").orderBy("bucket")
-    by_bucket = light.groupBy("pattern", _bucket().alias("bucket")).agg(F.sum("size").alias("words"), F.count("*").alias("docs"))
-    run = by_bucket.withColumn("words_to", F.sum("words").over(order)).withColumn("docs_to", F.sum("docs").over(order)).join(F.broadcast(parts), "pattern")
-    # the cut is in the first bucket that does not fit whole
-    over = F.min(F.when(F.col("words_to") > F.col("part"), F.col("docs_to")))
-    at = run.groupBy("pattern").agg(over.alias("docs_cut"))
-    about = run.join(F.broadcast(at), "pattern").where((F.col("docs_to") >= F.col("docs_cut") - FILLERS) & (F.col("docs_to") - F.col("docs") <= F.col("docs_cut") + FILLERS))
-    cut = about.groupBy("pattern").agg(F.min("bucket").alias("cut"), F.max("bucket").alias("end"), F.min(F.col("words_to") - F.col("words")).alias("words_before"))
-    edges = stored(parts.join(cut, "pattern", "left").withColumn("left", F.col("part") - F.col("words_before")))
-    near = lambda x: x.withColumn("bucket", _bucket()).join(F.broadcast(edges), "pattern")
-    edge = F.coalesce(F.col("bucket").between(F.col("cut"), F.col("end")), F.lit(False))
-    # no cut: what is left of the pattern fits whole
-    extra = F.when(F.coalesce(F.col("bucket") < F.col("cut"), F.col("part") > 0), 1).otherwise(0)
+    placed = lambda x: x.withColumn("bucket", _bucket()).withColumn("class", F.length(F.bin("size")))
+    cells = placed(light.select("pattern", "size", "draw")).where("size > 0").groupBy("pattern", "bucket", "class")
+    cells = cells.agg(F.sum("size").alias("words"), F.count("*").alias("docs"), F.min("size").alias("least")).join(F.broadcast(parts.where("part > 0")), "pattern")
+    edges = stored(cells.groupBy("pattern").applyInPandas(_cuts, "pattern string, class int, first int, cut int, end int, low int, left long"))
+    near = lambda x: placed(x).join(F.broadcast(parts), "pattern").join(F.broadcast(edges), ["pattern", "class"], "left")
+    edge = F.coalesce(F.col("bucket").between(F.col("first"), F.col("end")) | (F.col("bucket") == F.col("low")), F.lit(False))
+    # no cut: what is left of the class fits whole
+    extra = F.when((F.col("part") > 0) & F.coalesce(F.col("bucket") < F.col("cut"), F.lit(True)), 1).otherwise(0)
     names = rows.columns
     outside = near(rows).where(~edge).select(*names, (F.col("full") + extra).alias("passes"))
 
-    kinds = near(light).where(edge & (F.col("left") > 0) & (F.col("size") > 0)).groupBy("pattern", "draw", "size", "left", "bucket").agg(F.count("*").alias("copies"))
+    before = (F.col("bucket") < F.col("cut")).alias("before")
+    kinds = near(light).where(edge & (F.col("left") > 0) & (F.col("size") > 0)).groupBy("pattern", "draw", "size", "left", "bucket", before).agg(F.count("*").alias("copies"))
     chosen = stored(kinds.groupBy("pattern").applyInPandas(_fill, "of_pattern string, of_draw long, of_size long, copies long, extra long").where("extra > 0"))
     same = (F.col("pattern") == F.col("of_pattern")) & (F.col("draw") == F.col("of_draw")) & (F.col("size") == F.col("of_size"))
     inside = stored(near(rows).where(edge).join(chosen, same, "left"))
@@ -209,20 +206,53 @@ def passes(rows: DataFrame, plan: Plan, light: DataFrame | None = None) -> DataF
     return every.withColumn("passes", F.when(F.col("size") > 0, F.col("passes")).otherwise(F.lit(0)).cast("int"))
 
 
+def _cuts(cells: pd.DataFrame) -> pd.DataFrame:
+    """Of a pattern, where each class is cut, the buckets to gather, and the words that these may have.
+
+    Cells (bucket, class) are taken in the order of the buckets; the first of a class that does not fit closes it. A class
+    that fits whole is cut behind its last bucket. A pattern whose documents all fit has no cut.
+    """
+    cells = cells.sort_values(["bucket", "class"], kind="stable")
+    left = int(cells["part"].iloc[0])
+    of_class: dict[int, list[tuple[int, int, int, int]]] = {}
+    cut: dict[int, int] = {}
+    for bucket, c, words, docs, least in zip(*(cells[n].tolist() for n in ("bucket", "class", "words", "docs", "least")), strict=True):
+        of_class.setdefault(c, []).append((bucket, words, docs, least))
+        if c not in cut:
+            if words <= left:
+                left -= words
+            else:
+                cut[c] = len(of_class[c]) - 1
+    found = []
+    for c, mine in of_class.items() if cut else ():
+        at = cut.get(c, len(mine))
+        first, docs = at, 0
+        while first and docs < FILLERS:
+            first -= 1
+            docs += mine[first][2]
+            left += mine[first][1]
+        end, docs = at, 0
+        while end < len(mine) and docs < FILLERS:
+            docs += mine[end][2]
+            end += 1
+        low = min(mine[at:], key=lambda cell: cell[3], default=mine[first])
+        found.append((cells["pattern"].iloc[0], c, mine[first][0], mine[at][0] if at < len(mine) else BUCKETS, mine[end - 1][0], low[0]))
+    table = pd.DataFrame(found, columns=["pattern", "class", "first", "cut", "end", "low"])
+    return table.assign(left=left)
+
+
 def _fill(rows: pd.DataFrame) -> pd.DataFrame:
-    """Documents around the cut: in the order of their draws while they fit; then those next to the stop are chosen anew, to come as close as they can."""
-    rows = rows.sort_values(["bucket", "draw", "size"], kind="stable").reset_index(drop=True)
+    """Documents around the cuts: those before them, then in the order of their draws each that fits; then the last that were taken and the smallest that were not are chosen anew, to come as close as they can."""
+    rows = rows.sort_values(["before", "bucket", "draw", "size"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
     left, extra = int(rows["left"].iloc[0]), [0] * len(rows)
     sizes, copies = rows["size"].tolist(), rows["copies"].tolist()
-    stop = 0
-    while stop < len(rows):
-        extra[stop] = min(copies[stop], left // sizes[stop])
-        left -= extra[stop] * sizes[stop]
-        if extra[stop] < copies[stop]:
-            break
-        stop += 1
+    for i in range(len(rows)):
+        extra[i] = min(copies[i], left // sizes[i])
+        left -= extra[i] * sizes[i]
+    some = [i for i in range(len(rows)) if extra[i]][-FILLERS:] if left else []
+    short = sorted((i for i in range(len(rows)) if extra[i] < copies[i]), key=lambda i: sizes[i])[:FILLERS] if left else []
     free = []
-    for i in range(max(0, stop - FILLERS), min(len(rows), stop + FILLERS)):
+    for i in sorted({*some, *short}):
         n = min(copies[i], FILLERS)  # of a row that repeats, some copies stay as they are
         free += [i] * n
         given_back = min(extra[i], n)

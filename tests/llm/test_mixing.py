@@ -2,6 +2,7 @@
 
 import collections
 import itertools
+import random
 import re
 from fractions import Fraction
 
@@ -96,6 +97,30 @@ def test_rows_are_repeated(spark):
     assert collections.Counter(r.doc_id for r in kept.collect()) == want
 
 
+def partial(spark, sizes, part):
+    """Sizes that a partial pass takes and leaves."""
+    docs = spark.createDataFrame([(i, "a", n) for i, n in enumerate(sizes)], "doc_id long, source string, n int").repartition(8)
+    rows = M.draws(docs.selectExpr("doc_id", "source", "repeat('w ', n) AS text"), M.F.array("source"))
+    got = M.passes(rows, M.Plan([], [('["a"]', 0, part, {})])).select("size", "passes").collect()
+    assert len(got) == len(sizes) and {r.passes for r in got} <= {0, 1}
+    return [r["size"] for r in got if r.passes], [r["size"] for r in got if not r.passes]
+
+
+def test_a_long_document_does_not_end_the_pass(spark):
+    for part, most in [(400_000, 200_000), (200_000, 200_000), (150_000, 150_000)]:
+        taken, _ = partial(spark, [200] * 1000 + [500_000], part)
+        assert sum(taken) == most
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_no_document_left_out_would_fit(spark, seed):
+    rng = random.Random(seed)
+    sizes = [7 * int(2 ** rng.uniform(0, 14)) for _ in range(3000)] + [400_000] * 3
+    for part in (sum(sizes) // 3, 399_999, sum(sizes) - 5):
+        taken, left_out = partial(spark, sizes, part)
+        assert 0 <= part - sum(taken) < min(left_out)
+
+
 @pytest.mark.parametrize("size,weights", [([0, 0], [1, 2]), ([], [])])
 def test_nothing_to_mix(size, weights):
     assert M.targets(size, weights) == [Fraction(0)] * len(size)

@@ -3,9 +3,9 @@
 A page becomes lines, one for each block of text, each with its length; text of links counts for nothing, and
 so do lines inside elements that are never an article (menus, footers, adverts, forms and the like). Over
 the lengths slides a window of ``WIDTH`` lines. Where the window's sum rises above ``SURGE`` a stretch of main
-text begins, where it falls to nothing it ends, and the heaviest stretch is the article. An element that is
-marked as the article settles where the surge and the dive lie: lines outside it weigh nothing, and every line
-inside it counts as text, however short.
+text begins, where it falls to nothing it ends, and all stretches together are the article. A mark adds weight:
+every line inside an element that is marked as the article counts as text, however short, and no window reaches
+across the element's edges, so they are a surge and a dive.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -215,7 +216,7 @@ def stretches(weights: list[int], surge: int = SURGE, width: int = WIDTH, gap: i
             i += 1
             continue
         end = last = i
-        while end < n and end - last <= gap:
+        while end < n and end - last <= gap + 1:
             if weights[end]:
                 last = end
             end += 1
@@ -225,24 +226,27 @@ def stretches(weights: list[int], surge: int = SURGE, width: int = WIDTH, gap: i
 
 
 def main_lines(lines: list[Line]) -> list[Line]:
-    """The lines of the article."""
-    mass: dict[int, int] = {}
-    for line in lines:
-        if line.article:
-            mass[line.article] = mass.get(line.article, 0) + len(line.text)
-    if mass:  # surge and dive are the marked element's edges
-        best = max(mass, key=lambda a: (mass[a], -a))
-        return [line for line in lines if line.article == best]
-    weights = [line.weight for line in lines]
-    found = stretches(weights) or stretches(weights, surge=1)
-    if not found:
-        return []
-    start, end = max(found, key=lambda s: (sum(weights[s[0] : s[1]]), -s[0]))
-    while start and lines[start - 1].heading:
-        start -= 1
-    while end - start > 1 and CLOSING.match(lines[end - 1].text):
-        end -= 1
-    return lines[start:end]
+    """The lines of the article: every marked part, and every unmarked stretch."""
+    weights = [max(line.weight, SURGE) if line.article else line.weight for line in lines]
+    runs = [[i for i, _ in run] for _, run in groupby(enumerate(lines), key=lambda x: x[1].article > 0)]
+    found = _in_runs(weights, runs, SURGE) or _in_runs(weights, runs, 1)
+    kept: list[Line] = []
+    at = 0
+    for start, end in found:
+        if not lines[start].article:
+            while start > at and lines[start - 1].heading and not lines[start - 1].article:
+                start -= 1
+            if end == found[-1][1]:
+                while end > start and (kept or end - start > 1) and CLOSING.match(lines[end - 1].text):
+                    end -= 1
+        kept += lines[start:end]
+        at = end
+    return kept
+
+
+def _in_runs(weights: list[int], runs: list[list[int]], surge: int) -> list[tuple[int, int]]:
+    """Stretches of each run of lines, so that no window reaches across the edge of a marked part."""
+    return [(run[0] + start, run[0] + end) for run in runs for start, end in stretches(weights[run[0] : run[-1] + 1], surge)]
 
 
 def extract(page: str | None) -> str:

@@ -72,6 +72,27 @@ def test_page(page, want):
     assert H.extract(page) == want
 
 
+LINKS = "<ul>" + "<li><a href=/a>some other page</a>" * 6 + "</ul>"
+WHOLE = [
+    (f"<article><p>{LONG}</article><div>ad</div><article><p>One more.</article>", f"{LONG}\n\nOne more."),
+    (f"<div class=content><p>{LONG} {LONG}</div>{LINKS}<div class=content><p>{LONG}</div>", f"{LONG} {LONG}\n\n{LONG}"),
+    (f"<div class=post>Read this next.</div><div><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div>", f"Read this next.\n\nT\n\n{LONG}\n\n{LONG}"),
+    (f"<p>by line</p><article><p>{LONG}</article><p>short</p>", LONG),
+    (f"<p>{LONG} {LONG}</p>{LINKS}<h2>T</h2><p>{LONG} {LONG}</p>", f"{LONG} {LONG}\n\nT\n\n{LONG} {LONG}"),
+    (f"<p>{LONG}</p><p><a href=/a>one</a></p><p><a href=/b>two</a></p><p>End.</p>", f"{LONG}\n\none\n\ntwo\n\nEnd."),
+    (f"<p>{LONG}</p>{LINKS}<p>&copy; 2024 Site. {LONG}</p>", LONG),
+]
+
+
+@pytest.mark.parametrize("page,want", WHOLE)
+def test_whole_article(page, want):
+    assert H.extract(page) == want
+
+
+def test_gap():
+    assert H.stretches([90, 0, 0, 5]) == [(0, 4)] and H.stretches([90, 0, 0, 0, 5]) == [(0, 1)]
+
+
 def test_distribution():
     assert H.stretches([0, 5, 90, 0, 40, 0, 0, 0, 200, 1]) == [(1, 5), (8, 10)]
     assert H.stretches([]) == [] and H.stretches([1, 1, 1]) == []

@@ -28,15 +28,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-#: Rows of an Arrow batch. Texts can be long, and a batch is held whole on either side of the socket.
+#: Rows of an Arrow batch in the registered queries. Texts can be long, and a batch is held whole on either side of the socket.
 BATCH_ROWS = 250
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to at most ``BATCH_ROWS`` rows. The queries and the pipeline, which own their session, do so; operators leave it as it is."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def to_python(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` in small batches, by workers that give their memory back when they are done."""
-    session = rows.sparkSession
-    if int(session.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """``mapInArrow`` by workers that give their memory back when they are done."""
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)

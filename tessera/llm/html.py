@@ -1,11 +1,18 @@
 """Main text of web pages by line-block distribution.
 
-A page becomes lines, one for each block of text, each with its length; text of links counts for nothing, and
-so do lines inside elements that are never an article (menus, footers, adverts, forms and the like). Over
-the lengths slides a window of ``WIDTH`` lines. Where the window's sum rises above ``SURGE`` a stretch of main
-text begins, where it falls to nothing it ends, and all stretches together are the article. A mark adds weight:
-every line inside an element that is marked as the article counts as text, however short, and no window reaches
-across the element's edges, so they are a surge and a dive.
+A page becomes lines, one for each block of text, each weighing its length; text of links weighs nothing. Over
+the weights slides a window of ``WIDTH`` lines. A stretch is what lies between two dives, where more than ``GAP``
+lines in a row weigh nothing; where its windows surge to ``SURGE`` or more it is main text. All stretches that surge
+together are the article.
+
+Elements that are no article by their kind (menus, footers, forms, scripts and the like) have no lines. Classes and ids
+only change weights:
+
+* A mark of the article adds ``SURGE`` to each line inside, and no window reaches across its edges. A stretch
+  outside of all marks has to outweigh everything inside.
+* An element whose class or id names another part of a page (``PART_WORDS``), or just has a word that often does
+  (``SUSPECT_WORDS``), weighs nothing as long as other text outweighs it: a suspect weighs in full if no text
+  without a mark against it weighs as much, a part if nothing else on the page surges.
 """
 
 from __future__ import annotations
@@ -44,17 +51,23 @@ SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 CELL = frozenset(("td", "th"))
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-#: What is never main text: elements, words of a class or id, roles.
+#: What is never main text (elements, roles), and words of a class or id that speak against it.
 NEVER = frozenset("head nav footer aside form button select menu dialog noscript template svg math canvas audio video object datalist search".split()) | RAW
-NEVER_WORDS = frozenset(
+PART_WORDS = frozenset(
     """
-    ad ads adbox adslot advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promotion
-    banner nav navbar navigation menu menus submenu breadcrumb breadcrumbs pagination pager sidebar sidebars sidebox widget widgets
-    footer masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe
-    subscription signup login search share sharing social comment comments disqus replies respond related recommended
-    recommendations trending teaser skip copyright disclaimer
+    ad ads adbox adslot advert adverts advertisement advertisements advertising sponsor sponsored sponsors nav navbar navigation menu
+    menus submenu breadcrumb breadcrumbs pagination pager sidebar sidebars sidebox footer masthead topbar cookie cookies consent gdpr
+    notice notices newsletter subscribe comment comments disqus replies respond
     """.split()
 )
+SUSPECT_WORDS = PART_WORDS | frozenset(
+    """
+    promo promos promotion banner widget widgets toolbar alert popup modal overlay subscription signup login search share sharing
+    social related recommended recommendations trending teaser skip copyright disclaimer header
+    """.split()
+)
+#: Words at the end of a class or id that say nothing about what is inside.
+CONTAINER_WORDS = frozenset("content wrapper wrap container inner outer area section box block list item items bar row col column group holder slot unit zone region panel pane text body main".split())
 NEVER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form status".split())
 #: Words that turn a word after them into a remark on something else.
 REMARKS = frozenset("no has with without is not hide".split())
@@ -75,12 +88,14 @@ _WORDS = re.compile(r"[a-z]+|[0-9]+")
 
 @dataclass
 class Line:
-    """A block of text; ``article`` numbers the marked element that it is in, 0 for none."""
+    """A block of text. ``article`` numbers the marked element that it is in, ``against`` the element whose class or id speaks against it (0: none), ``part`` whether as a part of its own."""
 
     text: str
     weight: int
     article: int = 0
     heading: bool = False
+    against: int = 0
+    part: bool = False
 
 
 @dataclass
@@ -89,6 +104,8 @@ class _Open:
     out: bool  # what is in it is never main text
     article: int
     link: bool
+    against: int = 0
+    part: bool = False
 
 
 @dataclass
@@ -105,12 +122,12 @@ class _Builder:
             if link:
                 self.linked += sum(map(len, text.split()))
 
-    def end(self, article: int) -> None:
+    def end(self, top: _Open) -> None:
         if self.parts:
             words = "".join(self.parts).split()
             if words:
                 size = sum(map(len, words))
-                self.lines.append(Line(" ".join(words), 0 if 2 * self.linked > size else size - self.linked, article, self.heading))
+                self.lines.append(Line(" ".join(words), 0 if 2 * self.linked > size else size - self.linked, top.article, self.heading, top.against, top.part))
             self.parts = []
         self.linked, self.heading = 0, False
 
@@ -119,32 +136,41 @@ def _attributes(rest: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(rest)}
 
 
-def _ruled_out(name: str, rest: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element is never main text, and whether it is marked as the article."""
+#: What the tag of an element says about it.
+_OUT, _PLAIN, _MARKED, _PART, _SUSPECT = range(5)
+
+
+def _grade(name: str, rest: str, in_article: bool) -> int:
+    """What an opening tag says about its element."""
     if name in NEVER or (name == "header" and not in_article):
-        return True, False
+        return _OUT
     if len(rest) < 4:
-        return False, name in ("article", "main")
+        return _MARKED if name in ("article", "main") else _PLAIN
     found = _attributes(rest.rstrip(">"))
-    marks = f"{found.get('class', '')} {found.get('id', '')}".lower()
+    marks = f"{found.get('class', '')} {found.get('id', '')}".lower().split()
     role = found.get("role", "").lower()
-    marked = name in ("article", "main") or role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody" or bool(ARTICLE_WORDS.intersection(marks.split()))
-    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", "").lower()):
-        return True, False
-    if role in NEVER_ROLES:
-        return True, False
-    if name not in TRUSTED and not marked:
-        before = ""
-        for word in _WORDS.findall(marks):
-            if word in NEVER_WORDS and before not in REMARKS:
-                return True, False
-            before = word
-    return False, marked
+    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", "").lower()) or role in NEVER_ROLES:
+        return _OUT
+    if name in ("article", "main") or role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody" or not ARTICLE_WORDS.isdisjoint(marks):
+        return _MARKED
+    return min((_of_name(mark, in_article) for mark in marks), key=(_PART, _SUSPECT, _PLAIN).index, default=_PLAIN) if name not in TRUSTED else _PLAIN
+
+
+def _of_name(mark: str, in_article: bool) -> int:
+    """What one class or id says: its last word that is no container names the element, the others are hints."""
+    words = _WORDS.findall(mark)
+    while len(words) > 1 and (words[-1] in CONTAINER_WORDS or words[-1].isdigit()):
+        words.pop()
+    grade = _PLAIN
+    for before, word in zip(["", *words], words, strict=False):
+        if word in SUSPECT_WORDS and before not in REMARKS and not (in_article and word == "header"):
+            grade = _PART if word in PART_WORDS and word is words[-1] else _SUSPECT
+    return grade
 
 
 def lines_of(page: str) -> list[Line]:
     """The lines of a page that may be main text, in page order."""
-    build, stack, at, articles = _Builder(), [_Open("", False, 0, False)], 0, 0
+    build, stack, at, articles, doubts = _Builder(), [_Open("", False, 0, False)], 0, 0, 0
     while at < len(page):
         tag = _TAG.search(page, at)
         top = stack[-1]
@@ -158,18 +184,18 @@ def lines_of(page: str) -> list[Line]:
             continue
         if tag["close"]:
             if name == "p" and not any(o.name == "p" for o in stack):
-                build.end(top.article)
+                build.end(top)
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].name == name:
                     if name in BLOCK or any(o.name in BLOCK for o in stack[depth:]):
-                        build.end(top.article)
+                        build.end(top)
                     del stack[depth:]
                     break
                 if stack[depth].name in CELL and name in ("span", "a", "b", "i", "em", "strong"):
                     break
             continue
         if name in BLOCK:
-            build.end(top.article)
+            build.end(top)
             _close(stack, ("p",), stop=BLOCK - {"p"})
         if name in SIBLINGS:
             _close(stack, SIBLINGS[name], stop=frozenset(("ul", "ol", "dl", "table", "select", "menu")))
@@ -180,16 +206,19 @@ def lines_of(page: str) -> list[Line]:
             build.heading = True
         if name in VOID or (tag["rest"].endswith("/>") and name in ("svg", "path", "use", "circle", "rect")):
             continue
-        out, marked = (True, False) if top.out else _ruled_out(name, tag["rest"], top.article > 0)
+        grade = _OUT if top.out else _grade(name, tag["rest"], top.article > 0)
         if name in RAW:  # runs to its closing tag, whatever looks like markup in it
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.IGNORECASE).search(page, at)
             at = end.start() if end else len(page)
-        article = top.article
-        if marked and not out:
-            articles += 1
-            article = articles if not article else article  # an inner mark changes nothing
-        stack.append(_Open(name, out, article, top.link or name == "a"))
-    build.end(stack[-1].article)
+        article, against, part = top.article, top.against, top.part
+        if grade == _MARKED:
+            articles += not article  # an inner mark changes nothing, but it lifts what stands against the element around it
+            article, against, part = article or articles, 0, False
+        elif grade in (_PART, _SUSPECT) and not part:
+            doubts += 1
+            article, against, part = 0, doubts, grade == _PART
+        stack.append(_Open(name, grade == _OUT, article, top.link or name == "a", against, part))
+    build.end(stack[-1])
     return build.lines
 
 
@@ -204,32 +233,26 @@ def _close(stack: list[_Open], names: tuple[str, ...], stop: frozenset[str]) ->
 
 
 def stretches(weights: list[int], surge: int = SURGE, width: int = WIDTH, gap: int = GAP) -> list[tuple[int, int]]:
-    """Where the window's sum rises above the surge, up to where it has fallen to nothing; (first line, line after the last)."""
-    n = len(weights)
-    total = [0]
-    for w in weights:
-        total.append(total[-1] + w)
-    window = [total[min(n, i + width)] - total[i] for i in range(n)]
-    found, i = [], 0
-    while i < n:
-        if not weights[i] or window[i] < surge:
-            i += 1
-            continue
-        end = last = i
-        while end < n and end - last <= gap + 1:
-            if weights[end]:
-                last = end
-            end += 1
-        found.append((i, last + 1))
-        i = last + 1
+    """Stretches between dives, runs of more than ``gap`` lines without weight, in which a window's sum reaches the surge; (first line, line after the last)."""
+    found, first, last = [], -1, -1
+    for i, w in enumerate([*weights, *[0] * (gap + 1)]):
+        if w:
+            first, last = (i if first < 0 else first), i
+        elif first >= 0 and i - last > gap:
+            if any(sum(weights[k : min(k + width, last + 1)]) >= surge for k in range(first, last + 1)):
+                found.append((first, last + 1))
+            first = -1
     return found
 
 
 def main_lines(lines: list[Line]) -> list[Line]:
-    """The lines of the article: every marked part, and every unmarked stretch."""
-    weights = [max(line.weight, SURGE) if line.article else line.weight for line in lines]
-    runs = [[i for i, _ in run] for _, run in groupby(enumerate(lines), key=lambda x: x[1].article > 0)]
+    """The lines of the article: every stretch that surges, with the headings above it."""
+    lines = _weighed(lines)
+    marked = sum(line.weight for line in lines if line.article)
+    weights = [line.weight + SURGE * (line.article > 0) for line in lines]
+    runs = [[i for i, _ in run] for _, run in groupby(enumerate(lines), key=lambda x: x[1].article)]
     found = _in_runs(weights, runs, SURGE) or _in_runs(weights, runs, 1)
+    found = [(a, b) for a, b in found if lines[a].article or sum(weights[a:b]) > marked]
     kept: list[Line] = []
     at = 0
     for start, end in found:
@@ -244,6 +267,22 @@ def main_lines(lines: list[Line]) -> list[Line]:
     return kept
 
 
+def _weighed(lines: list[Line]) -> list[Line]:
+    """The lines without those that others outweigh: see the marks at the top."""
+    if not any(line.against for line in lines):
+        return lines
+    if any(line.article and line.weight for line in lines):
+        return [line for line in lines if not line.against]
+    mass: dict[int, int] = {}
+    for line in lines:
+        mass[line.against] = mass.get(line.against, 0) + line.weight
+    plain = mass.get(0, 0)
+    stay = {line.against for line in lines if not line.part and (not line.against or mass[line.against] > plain)}
+    if sum(mass[k] for k in stay) < SURGE:
+        stay |= {line.against for line in lines if line.part and mass[line.against] >= SURGE}
+    return [line for line in lines if line.against in stay]
+
+
 def _in_runs(weights: list[int], runs: list[list[int]], surge: int) -> list[tuple[int, int]]:
     """Stretches of each run of lines, so that no window reaches across the edge of a marked part."""
     return [(run[0] + start, run[0] + end) for run in runs for start, end in stretches(weights[run[0] : run[-1] + 1], surge)]
@@ -255,7 +294,12 @@ def extract(page: str | None) -> str:
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """Every row's id, address, main text and its length. A null page is an empty one; repeated rows each get a row; other columns stay behind."""
+    """Every row's id, address, main text and its length, in one pass without a shuffle.
+
+    A null page is an empty one, with an empty text; a null id or address stays null; rows with equal ids, and rows
+    that repeat, each get a row; a long page is read whole, in one piece; stretches of equal weight all stay, so there are
+    no ties; an empty table gives an empty one; other columns stay behind, whatever their names.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "html"):

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, html, licenses, lines, mixing, neardup, quality, sharding, substrings, tokens
-from .common import read
+from .common import read, small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,7 +56,16 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: _prepared(f) for name, f in globals().items() if name.startswith("op") and callable(f)}
+
+
+def _prepared(query: Query) -> Query:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
 def oracle_sql() -> dict[str, str]:

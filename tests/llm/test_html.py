@@ -1,5 +1,6 @@
 """Extraction: exact on the test pages against an independent parser, and on hand-made pages."""
 
+import re
 from html.parser import HTMLParser
 
 import pytest
@@ -93,6 +94,38 @@ def test_gap():
     assert H.stretches([90, 0, 0, 5]) == [(0, 4)] and H.stretches([90, 0, 0, 0, 5]) == [(0, 1)]
 
 
+def test_windows_decide_every_page(spark, monkeypatch):
+    """Each page's text is what the windows' stretches hold, and on 99 of 100 pages they find it without the article's mark."""
+    pages = [r.html for r in read(spark, "/root/testdata/sf0.1", "pages").select("html").collect()]
+    calls, found = [], H.stretches
+    monkeypatch.setattr(H, "stretches", lambda *a: calls.append(out := found(*a)) or out)
+    same = 0
+    for page in pages:
+        calls.clear()
+        marked = H.extract(page)
+        assert any(calls)
+        same += H.extract(re.sub(r"(</?)article\b", r"\1div", page)) == marked
+    monkeypatch.setattr(H, "stretches", lambda *a: [])
+    assert not any(map(H.extract, pages[:50]))
+    assert same >= 0.99 * len(pages) and len(pages) == 2500
+
+
+@pytest.mark.parametrize("name", ["login-story", "search-results", "banner-text", "promo-body", "alert-text", "copyright-history", "sidebar", "widget"])
+def test_a_class_is_a_weight(name):
+    """A class never rules out what nothing outweighs; where other text does, it goes."""
+    story, other = " ".join(["word"] * 160), " ".join(["other"] * 160)
+    assert H.extract(f"<nav>Home</nav><div class={name}><p>{story}</div><footer>f</footer>") == story
+    assert H.extract(f"<div class={name}><p>{story}</div><div><p>{other} {other}</div>") == f"{other} {other}"
+    assert H.extract(f"<div class={name}><p>{story}</div><article><p>{LONG}</article>") == LONG
+
+
+def test_parts_stay_out():
+    """What a class names as a part of the page is no article, however long, beside any text that surges."""
+    for name in ("comments", "comment-list", "footer-text", "sidebar-content", "cookie-notice", "ad-slot-2"):
+        assert H.extract(f"<div><p>{LONG}</div><div class='x {name}'><p>{LONG} {LONG}<p>{LONG} {LONG}</div>") == LONG
+    assert H.extract(f"<div class='page has-sidebar'><div class=widget><article><p>{LONG}</article></div></div>") == LONG
+
+
 def test_distribution():
     assert H.stretches([0, 5, 90, 0, 40, 0, 0, 0, 200, 1]) == [(1, 5), (8, 10)]
     assert H.stretches([]) == [] and H.stretches([1, 1, 1]) == []

@@ -12,7 +12,8 @@ only change weights:
   outside of all marks has to outweigh everything inside.
 * An element whose class or id names another part of a page (``PART_WORDS``), or just has a word that often does
   (``SUSPECT_WORDS``), weighs nothing as long as other text outweighs it: a suspect weighs in full if no text
-  without a mark against it weighs as much, a part if nothing else on the page surges.
+  without a mark against it weighs as much, a part if
+  nothing else on the page surges and it weighs ``PART_TIMES`` as much.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ WIDTH = 3
 SURGE = 86
 #: Lines without weight that a stretch may run across.
 GAP = 2
+#: How many times the rest of a page, which doesn't surge, a part has to weigh to count.
+PART_TIMES = 8
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 #: Fixed values, of HTML: elements without content, elements whose content is no markup, and elements that begin a new line.
@@ -278,8 +281,8 @@ def _weighed(lines: list[Line]) -> list[Line]:
         mass[line.against] = mass.get(line.against, 0) + line.weight
     plain = mass.get(0, 0)
     stay = {line.against for line in lines if not line.part and (not line.against or mass[line.against] > plain)}
-    if sum(mass[k] for k in stay) < SURGE:
-        stay |= {line.against for line in lines if line.part and mass[line.against] >= SURGE}
+    if (rest := sum(mass[k] for k in stay)) < SURGE:
+        stay |= {line.against for line in lines if line.part and mass[line.against] >= max(SURGE, PART_TIMES * rest)}
     return [line for line in lines if line.against in stay]
 
 

@@ -10,8 +10,8 @@ cuts a bounded run of documents is searched for the ones that fill what is left.
 
 from __future__ import annotations
 
-import heapq
 import json
+import math
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -26,11 +26,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 MAX_PASSES = 3
 SEED = 17
-#: Hash buckets of a pattern, and the documents on either side of the cut whose choice may change to fill a remainder.
-BUCKETS = 1 << 12
+#: Hash buckets of a pattern: about the square root of the number of documents, a power of two between these.
+BUCKETS = (1 << 12, 1 << 20)
+#: Documents on either side of the cut whose choice may change to fill a remainder, and the bits of memory for that.
 FILLERS = 40
-#: The table of patterns goes to the driver, if it is no longer than this.
-MAX_PATTERNS = 1_000_000
+FILL_BITS = 1 << 28
+#: A table of at most so many lines is sent to all tasks; a longer one is joined by its key.
+BROADCAST_ROWS = 200_000
 
 
 def targets(sizes: list[int], weights: list[int], most: int = MAX_PASSES) -> list[Fraction]:
@@ -52,65 +54,86 @@ def targets(sizes: list[int], weights: list[int], most: int = MAX_PASSES) -> lis
 def route(supply: list[int], members: list[list[int]], quota: list[int], passes: int = MAX_PASSES) -> list[dict[int, int]]:
     """Words that each pattern gives to each of its sources: a flow of most words at least cost, the k-th pass of a pattern costing k a word.
 
-    A pattern that shares no source with another is settled at once; the rest is solved by successive shortest
-    paths with potentials over the graph pattern - source.
+    Only the arcs from the start to a pattern cost anything, so an augmenting path costs what its first arc does. Shortest paths
+    first thus means: a flow of most words with one pass of each pattern, then with one pass more, and so on. Each of these is found by
+    Dinic's blocking flows; an arc is looked at once in a phase, so a table of a million patterns takes seconds.
     """
-    users = [0] * len(quota)
-    for ms in members:
+    users: list[list[int]] = [[] for _ in quota]
+    for p, ms in enumerate(members):
         for s in ms:
-            users[s] += 1
-    alone = [len(ms) == 1 and users[ms[0]] == 1 for ms in members]
-    rest = [p for p in range(len(supply)) if not alone[p]]
-    found = [{ms[0]: min(quota[ms[0]], passes * supply[p])} if alone[p] else {} for p, ms in enumerate(members)]
-    for p, give in zip(rest, _route([supply[p] for p in rest], [members[p] for p in rest], quota, passes), strict=True):
-        found[p] = give
-    return found
-
-
-def _route(supply: list[int], members: list[list[int]], quota: list[int], passes: int) -> list[dict[int, int]]:
-    n, m = len(supply), len(quota)
-    start, sink = n + m, n + m + 1
-    to, capacity, cost, out = [], [], [], [[] for _ in range(n + m + 2)]
-
-    def arc(a: int, b: int, c: int, w: int) -> None:
-        for x, y, cap, price in ((a, b, c, w), (b, a, 0, -w)):
-            out[x].append(len(to))
-            to.append(y)
-            capacity.append(cap)
-            cost.append(price)
-
-    between = {}
-    for p in range(n):
-        for k in range(passes):
-            arc(start, p, supply[p], k + 1)
-        for s in members[p]:
-            between[p, s] = len(to)
-            arc(p, n + s, passes * supply[p], 0)
-    for s in range(m):
-        arc(n + s, sink, quota[s], 0)
-    potential = [0] * len(out)
-    while True:
-        far, via, heap = {start: 0}, {}, [(0, start)]
-        while heap:
-            d, a = heapq.heappop(heap)
-            if d > far[a]:
-                continue
-            for e in out[a]:
-                if capacity[e] and (x := d + cost[e] + potential[a] - potential[to[e]]) < far.get(to[e], x + 1):
-                    far[to[e]], via[to[e]] = x, e
-                    heapq.heappush(heap, (x, to[e]))
-        if sink not in far:
-            return [{s: capacity[between[p, s] ^ 1] for s in members[p]} for p in range(n)]
-        for a in range(len(out)):
-            potential[a] += min(far.get(a, far[sink]), far[sink])
-        path, a = [], sink
-        while a != start:
-            path.append(via[a])
-            a = to[via[a] ^ 1]
-        step = min(capacity[e] for e in path)
-        for e in path:
-            capacity[e] -= step
-            capacity[e ^ 1] += step
+            users[s].append(p)
+    flow, room = [dict.fromkeys(ms, 0) for ms in members], list(quota)
+    for _ in range(passes):
+        left = list(supply)
+        while (layers := _layers(left, room, members, users, flow)) is not None:
+            _blocking(left, room, members, users, flow, *layers)
+    return flow
+
+
+def _layers(left: list[int], room: list[int], members: list[list[int]], users: list[list[int]], flow: list[dict[int, int]]) -> tuple[dict[int, int], dict[int, int], int] | None:
+    """Layers of the patterns and sources that words left over reach, up to the first layer with room; None if no room is in reach."""
+    patterns = {p: 0 for p, n in enumerate(left) if n}
+    sources: dict[int, int] = {}
+    front, depth = list(patterns), 0
+    while front:
+        reached = []
+        for p in front:
+            for s in members[p]:
+                if s not in sources:
+                    sources[s] = depth
+                    reached.append(s)
+        if any(room[s] for s in reached):
+            return patterns, sources, depth
+        front, depth = [], depth + 1
+        for s in reached:  # a pattern that gives to this source could give to another instead
+            for p in users[s]:
+                if p not in patterns and flow[p][s]:
+                    patterns[p] = depth
+                    front.append(p)
+    return None
+
+
+def _blocking(left: list[int], room: list[int], members: list[list[int]], users: list[list[int]], flow: list[dict[int, int]], patterns: dict[int, int], sources: dict[int, int], last: int) -> None:
+    """Send words along the layers until no path is left. A path is a pattern, a source, a pattern that gives to it, and so on."""
+    tried_p, tried_s = dict.fromkeys(patterns, 0), dict.fromkeys(sources, 0)
+    for first in [p for p, depth in patterns.items() if not depth]:
+        path = [first]
+        while path and left[first]:
+            at = path[-1]
+            if len(path) % 2:  # a pattern: the next source a layer on
+                ms, i = members[at], tried_p[at]
+                while i < len(ms) and sources.get(ms[i]) != patterns[at]:
+                    i += 1
+                tried_p[at] = i
+                if i < len(ms):
+                    path.append(ms[i])
+                else:
+                    path.pop()
+                    if path:
+                        tried_s[path[-1]] += 1
+            elif sources[at] == last:
+                if not room[at]:
+                    path.pop()
+                    tried_p[path[-1]] += 1
+                    continue
+                words = min([left[first], room[at], *(flow[path[k]][path[k - 1]] for k in range(2, len(path), 2))])
+                left[first] -= words
+                room[at] -= words
+                for k in range(0, len(path), 2):
+                    flow[path[k]][path[k + 1]] += words
+                    if k:
+                        flow[path[k]][path[k - 1]] -= words
+                path = [first]
+            else:  # a source without room: the next pattern that gives to it
+                us, i = users[at], tried_s[at]
+                while i < len(us) and not (patterns.get(us[i]) == sources[at] + 1 and flow[us[i]][at]):
+                    i += 1
+                tried_s[at] = i
+                if i < len(us):
+                    path.append(us[i])
+                else:
+                    path.pop()
+                    tried_p[path[-1]] += 1
 
 
 @dataclass(frozen=True)
@@ -137,8 +160,13 @@ def draws(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: st
     )
 
 
-def _bucket() -> Column:
-    return F.shiftrightunsigned("draw", 64 - (BUCKETS.bit_length() - 1)).cast("int")
+def _bucket(buckets: int) -> Column:
+    return F.shiftrightunsigned("draw", 64 - (buckets.bit_length() - 1)).cast("int")
+
+
+def _buckets(docs: int) -> int:
+    """Cells and the rows of one bucket both grow with the square root of the corpus."""
+    return min(max(1 << (math.isqrt(docs).bit_length()), BUCKETS[0]), BUCKETS[1])
 
 
 def solve(patterns: list[tuple[str, int]], weights: tuple[int, ...] = WEIGHTS) -> Plan:
@@ -163,11 +191,12 @@ def solve(patterns: list[tuple[str, int]], weights: tuple[int, ...] = WEIGHTS) -
 
 
 def totals(rows: DataFrame) -> list[tuple[str, int]]:
-    """The table of patterns with their words. Sources name where text is from; a column with more than ``MAX_PATTERNS`` is refused."""
-    found = rows.groupBy("pattern").agg(F.sum("size").alias("words")).limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} sets of sources")
-    return sorted((r.pattern, r.words) for r in found)
+    """The table of patterns with their words: what the driver sees of the corpus."""
+    return sorted((r.pattern, r.words) for r in rows.groupBy("pattern").agg(F.sum("size").alias("words")).collect())
+
+
+def _small(table: DataFrame, lines: int) -> DataFrame:
+    return F.broadcast(table) if lines <= BROADCAST_ROWS else table
 
 
 def passes(rows: DataFrame, plan: Plan, light: DataFrame | None = None) -> DataFrame:
@@ -181,11 +210,12 @@ def passes(rows: DataFrame, plan: Plan, light: DataFrame | None = None) -> DataF
     light = light if light is not None else rows
     schema = "pattern string, full long, part long"
     parts = rows.sparkSession.createDataFrame([(k, f, p) for k, f, p, _ in plan.patterns], schema)
-    placed = lambda x: x.withColumn("bucket", _bucket()).withColumn("class", F.length(F.bin("size")))
+    n, buckets = len(plan.patterns), _buckets(light.count())
+    placed = lambda x: x.withColumn("bucket", _bucket(buckets)).withColumn("class", F.length(F.bin("size")))
     cells = placed(light.select("pattern", "size", "draw")).where("size > 0").groupBy("pattern", "bucket", "class")
-    cells = cells.agg(F.sum("size").alias("words"), F.count("*").alias("docs"), F.min("size").alias("least")).join(F.broadcast(parts.where("part > 0")), "pattern")
+    cells = cells.agg(F.sum("size").alias("words"), F.count("*").alias("docs"), F.min("size").alias("least")).join(_small(parts.where("part > 0"), n), "pattern")
     edges = stored(cells.groupBy("pattern").applyInPandas(_cuts, "pattern string, class int, first int, cut int, end int, low int, left long"))
-    near = lambda x: placed(x).join(F.broadcast(parts), "pattern").join(F.broadcast(edges), ["pattern", "class"], "left")
+    near = lambda x: placed(x).join(_small(parts, n), "pattern").join(_small(edges, 64 * n), ["pattern", "class"], "left")
     edge = F.coalesce(F.col("bucket").between(F.col("first"), F.col("end")) | (F.col("bucket") == F.col("low")), F.lit(False))
     # no cut: what is left of the class fits whole
     extra = F.when((F.col("part") > 0) & F.coalesce(F.col("bucket") < F.col("cut"), F.lit(True)), 1).otherwise(0)
@@ -236,7 +266,7 @@ def _cuts(cells: pd.DataFrame) -> pd.DataFrame:
             docs += mine[end][2]
             end += 1
         low = min(mine[at:], key=lambda cell: cell[3], default=mine[first])
-        found.append((cells["pattern"].iloc[0], c, mine[first][0], mine[at][0] if at < len(mine) else BUCKETS, mine[end - 1][0], low[0]))
+        found.append((cells["pattern"].iloc[0], c, mine[first][0], mine[at][0] if at < len(mine) else BUCKETS[1], mine[end - 1][0], low[0]))
     table = pd.DataFrame(found, columns=["pattern", "class", "first", "cut", "end", "low"])
     return table.assign(left=left)
 
@@ -252,10 +282,13 @@ def _fill(rows: pd.DataFrame) -> pd.DataFrame:
     some = [i for i in range(len(rows)) if extra[i]][-FILLERS:] if left else []
     short = sorted((i for i in range(len(rows)) if extra[i] < copies[i]), key=lambda i: sizes[i])[:FILLERS] if left else []
     free = []
-    for i in sorted({*some, *short}):
-        n = min(copies[i], FILLERS)  # of a row that repeats, some copies stay as they are
-        free += [i] * n
+    for i in sorted({*some, *short}, key=lambda i: sizes[i]):
+        # of a row that repeats, some copies stay as they are; so do documents so long that the table of sums would not fit
+        n = min(copies[i], FILLERS)
         given_back = min(extra[i], n)
+        if (len(free) + n + 1) * (left + given_back * sizes[i] + 1) > FILL_BITS:
+            break
+        free += [i] * n
         extra[i] -= given_back
         left += given_back * sizes[i]
     reach = [1]  # bit w of reach[k]: some of the first k documents have w words
@@ -272,19 +305,24 @@ def _fill(rows: pd.DataFrame) -> pd.DataFrame:
 def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row with its size, its source's size and target, and the words that the mix takes of it.
 
-    A null source is a source, the last one; a null text or one without words has size 0 and is not taken; rows
-    that repeat are taken each for itself; an empty table gives an empty one; other columns stay behind.
+    A null source is a source, the last one; a null text or one without words has size 0 and is not taken; a long text counts
+    whole, and one too long for what is left is passed over for shorter ones; rows that repeat are taken each for itself, and of rows
+    alike in all but the id those with smaller ids first; an empty table gives an empty one; other columns stay behind.
     """
     rows = stored(draws(docs, F.array(F.col(source_col).cast("string")), id_col, text_col))
     plan = solve(totals(rows))
     about = {s: (z, t) for s, z, t in plan.sources}
     sources = rows.sparkSession.createDataFrame([(k, *about[json.loads(k)[0]]) for k, *_ in plan.patterns], "pattern string, source_size long, target double")
-    found = passes(rows, plan).join(F.broadcast(sources), "pattern")
+    found = passes(rows, plan).join(_small(sources, len(plan.patterns)), "pattern")
     return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("passes")).alias("taken"))
 
 
 def keep_mix(docs: DataFrame, source_col: str = "source") -> DataFrame:
-    """The rows of ``docs``, all columns, each as often as the mix takes it."""
+    """The rows of ``docs``, all columns, each as often as the mix takes it.
+
+    Nulls, long texts, ties and repeated rows as in ``mix``; a row without words is never taken; columns keep their names, whatever
+    these are; an empty table gives an empty one.
+    """
     sources = F.array(F.col(source_col).cast("string"))
     light = stored(draws(docs, sources))
     rows = draws(docs, sources, carry=[F.struct(*docs.columns).alias("__row")])

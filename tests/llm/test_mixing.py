@@ -46,6 +46,42 @@ def test_route_is_cheapest(data):
     assert (-sum(sum(f.values()) for f in got), sum(price(sum(f.values()), z) for f, z in zip(got, supply, strict=True))) == best
 
 
+@pytest.mark.parametrize("n,kinds", [(300_000, 300_000), (20_000, 300)])
+def test_route_is_good_for_many_patterns(n, kinds):
+    """Lone patterns and ones that share sources, each given no more than it has, quotas kept, and no room left that words could still reach."""
+    rng = random.Random(n)
+    supply = [rng.randrange(1, 1000) for _ in range(n)]
+    members = [[p] if kinds == n else rng.sample(range(kinds), rng.randrange(1, 5)) for p in range(n)]
+    quota = [rng.randrange(3000) if kinds == n else rng.randrange(200_000) for _ in range(kinds)]
+    got = M.route(supply, members, quota)
+    taken = collections.Counter()
+    for g in got:
+        taken.update(g)
+    assert all(sum(g.values()) <= 3 * z and min(g.values()) >= 0 for g, z in zip(got, supply, strict=True)) and all(w <= quota[s] for s, w in taken.items())
+    open_ = {s for s, q in enumerate(quota) if taken[s] < q}
+    assert all(sum(g.values()) == 3 * z for g, z, ms in zip(got, supply, members, strict=True) if open_.intersection(ms))
+    if kinds == n:
+        assert all(g[p] == min(quota[p], 3 * supply[p]) for p, g in enumerate(got))
+
+
+def test_every_pattern_enters_the_graph(spark, monkeypatch):
+    """The solver's input is the pattern table, and the words that its augmentations carry are the words that the plan gives."""
+    docs = read(spark, "/root/testdata/sf0.01", "documents")
+    table = M.totals(M.draws(docs, M.F.array("source")))
+    seen, carried, route, blocking = [], [0], M.route, M._blocking
+
+    def counted(left, room, *rest):
+        before = sum(room)
+        blocking(left, room, *rest)
+        carried[0] += before - sum(room)
+
+    monkeypatch.setattr(M, "route", lambda supply, members, quota: seen.append((supply, members)) or route(supply, members, quota))
+    monkeypatch.setattr(M, "_blocking", counted)
+    plan = M.solve(table)
+    assert len(seen) == 1 and seen[0][0] == [w for _, w in table] and sorted(seen[0][1]) == [[i] for i in range(len(table))]
+    assert carried[0] == sum(sum(g.values()) for *_, g in plan.patterns) > 0
+
+
 def test_overlap_shares_the_common_pattern():
     plan = M.solve([('["a"]', 10), ('["a","b"]', 100), ('["b"]', 10)], (1, 1))
     assert sum(sum(g.values()) for *_, g in plan.patterns) == 120 and all(abs(t - 60) < 1e-9 for _, _, t in plan.sources)
@@ -121,6 +157,15 @@ def test_no_document_left_out_would_fit(spark, seed):
         assert 0 <= part - sum(taken) < min(left_out)
 
 
+def test_very_long_documents_fill_in_bounded_memory(spark):
+    """Sums of documents of ten million words each would not fit; shorter ones still fill what is left."""
+    rng = random.Random(5)
+    frame = M.pd.DataFrame({"pattern": "p", "draw": [rng.getrandbits(60) for _ in range(90)], "size": [10_000_000 + 7 * i for i in range(45)] + [rng.randrange(50, 99) for _ in range(45)], "left": 200_000_300, "bucket": 0, "before": [True] * 20 + [False] * 70, "copies": 1})
+    got = M._fill(frame)
+    assert (got.extra <= got.copies).all()
+    assert 0 <= 200_000_300 - int((got.of_size * got.extra).sum()) < got.of_size[got.extra < got.copies].min()
+
+
 @pytest.mark.parametrize("size,weights", [([0, 0], [1, 2]), ([], [])])
 def test_nothing_to_mix(size, weights):
     assert M.targets(size, weights) == [Fraction(0)] * len(size)

@@ -144,5 +144,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Copies of a row that are made at once.
+COPIES = 1 << 14
+
+
+def repeated(rows: DataFrame, times: str, number: str) -> DataFrame:
+    """Each row ``times`` times, numbered from 0; copies are made in pieces, so that no array is as long as their number."""
+    pieces = rows.withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / COPIES).cast("long"))))
+    first = F.col("__piece") * COPIES
+    return pieces.withColumn(number, F.explode(F.sequence(first, F.least(first + COPIES, F.col(times)) - 1))).drop("__piece")
+
+
 def total_bytes(df: DataFrame, column: str) -> int:
     return df.agg(F.coalesce(F.sum(F.octet_length(column).cast("long")), F.lit(0))).first()[0]

@@ -1,112 +1,240 @@
 """Line dedup: a suffix array over line-id sequences by distributed prefix doubling.
 
 A text is the sequence of its lines that hold something besides white space; a line's id stands for its
-characters. The suffixes of all sequences are sorted by doubling: a suffix's rank by its first 2k lines
-follows from its ranks by k lines here and k lines on. Ranks keep the order of the ids, and a rank that
-only one suffix has leaves the game, for it can be part of no repeat. Sorting stops at ``MIN_RUN`` lines:
-what the intervals of suffixes with a longest common prefix of at least that many lines hold can't change any more,
-and a maximal repeated run is a chain of such suffixes. In each interval the first suffix in order of
-the documents stays, and the lines that the others begin with are deleted.
-
-Everything runs as built-in functions in the JVM.
+characters. Texts that are equal as a whole are one sequence.
+
+1. Suffixes whose first line another suffix has too are ranked by that line; a rank is the suffix's place in the
+   suffix array, of equal ones the first. Doubling refines: the rank by 2d lines follows from the rank by d lines here and
+   the one d lines on. A rank that is one suffix's alone is final, and a sequence whose ranks are all final
+   leaves. Where a line that nothing else has is d lines on, no suffix agrees further, and where the text ends there,
+   nothing is left to compare; doubling goes on until all ranks are final, however long the repeats.
+2. The longest common prefix of neighbours in the suffix array comes from the doubling's levels, the longest first:
+   neighbours of one rank at a level of d lines share d lines more.
+3. Suffixes in a row that share t lines or more are an interval. Its first suffix in order of the documents stays, and the t
+   lines that the others begin with are deleted, if t is ``depth``, or if they have ``min_words`` words.
+   A maximal repeated run is a chain of such suffixes, each a line on.
+
+Everything runs as built-in functions in the JVM. A key that very many rows share (a line in a third of all documents) is
+joined by broadcast: at most ``HOT_KEYS`` keys can have more than one in ``HOT_KEYS`` of all rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import repeated, stored
 
 MIN_RUN = 3
+#: A shorter run goes, too, if it has so many words.
+MIN_WORDS = 50
+HOT_KEYS = 1000
 _ROW = ["row_a", "row_b"]
+_OWNER = ["none", "doc_id"]
+#: What stands for a line that no other suffix begins with, where one is looked up.
+_ALONE = 2**62
 
 
 def _row(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) under a 128-bit key; rows alike in both have one key."""
+    """(doc_id, text) under a 128-bit key; rows alike in text have one key."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.select(F.xxhash64("doc_id", "text").alias("row_a"), F.xxhash64(F.lit("b"), "text", "doc_id").alias("row_b"), "doc_id", "text")
+    return rows.select(F.xxhash64("text").alias("row_a"), F.xxhash64(F.lit("b"), "text").alias("row_b"), "doc_id", "text")
 
 
 def _split(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def _words(line: Column) -> Column:
+    return F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
+
+
 def _full(lines: Column) -> Column:
-    """The lines that count, each with its place."""
-    placed = F.transform(lines, lambda x, i: F.struct(i.alias("line"), x.alias("words")))
-    return F.filter(placed, lambda s: s["words"].rlike(r"[^\x20\x09-\x0D]"))
+    """The lines that count, each with its place and words."""
+    placed = F.transform(lines, lambda x, i: F.struct(i.alias("line"), x.alias("chars"), _words(x).alias("words")))
+    return F.filter(placed, lambda s: s["words"] > 0)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """One row for each distinct text: its key, the first id that has it (null last), and the 128-bit ids and words of its lines that count."""
+    lines = _row(docs).where("text is not null").withColumn("full", _full(_split(F.col("text"))))
+    each = lines.select(
+        *_ROW, "doc_id", F.col("doc_id").isNull().alias("none"),
+        F.transform("full", lambda s: F.xxhash64(s["chars"])).alias("ids_a"),
+        F.transform("full", lambda s: F.xxhash64(F.lit("b"), s["chars"])).alias("ids_b"),
+        F.transform("full", lambda s: s["words"]).alias("words"),
+    )
+    one = lambda c: F.first(c).alias(c)  # noqa: E731  the same for all rows of a text
+    return each.groupBy(*_ROW).agg(F.min("none").alias("none"), F.min("doc_id").alias("doc_id"), one("ids_a"), one("ids_b"), one("words"))
+
+
+def _lines(texts: DataFrame, *carry: str) -> DataFrame:
+    entry = lambda a, i: F.struct(i.alias("pos"), a.alias("id_a"), F.get("ids_b", i).alias("id_b"), F.get("words", i).alias("words"))
+    return texts.select(*carry, F.size("ids_a").alias("n"), F.inline(F.transform("ids_a", entry)))
 
 
 def sequences(docs: DataFrame) -> DataFrame:
-    """One row for each line that counts: its text's key and id, its place among these lines and among all, its 128-bit id."""
-    each = _row(docs).select(*_ROW, "doc_id", F.posexplode(_full(_split(F.col("text")))).alias("pos", "at"))
-    return each.select(*_ROW, "doc_id", "pos", F.col("at.line").alias("line"), F.xxhash64("at.words").alias("id_a"), F.xxhash64(F.lit("b"), "at.words").alias("id_b"))
+    """One row for each line that counts of each distinct text: the text's key, the line's place and id."""
+    return _lines(_texts(docs), *_ROW)
+
+
+def _numbered(rows: DataFrame, keys: list[str], *weights: str) -> DataFrame:
+    """The rows with, for each weight, its sum over all rows before them in the order of their keys, as ``<weight>_before``.
+
+    The rows are dealt by ranges of the keys; sums run inside a range, and a table with one line for each range has what stands before it.
+    """
+    placed = stored(rows.repartitionByRange(*keys).withColumn("range", F.spark_partition_id()))
+    before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    totals = placed.groupBy("range").agg(*[F.sum(w).alias(w) for w in weights])
+    totals = totals.select("range", *[F.coalesce(F.sum(w).over(before), F.lit(0)).alias(f"{w}_first") for w in weights])
+    inside = W.partitionBy("range").orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)
+    found = placed.withColumns({f"{w}_before": F.coalesce(F.sum(w).over(inside), F.lit(0)) for w in weights}).join(F.broadcast(totals), "range")
+    return found.select(*rows.columns, *[(F.col(f"{w}_before") + F.col(f"{w}_first")).alias(f"{w}_before") for w in weights])
 
 
-def _ranked(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Rows whose key another row has too, with the key's rank in place of it.
+def _joined(rows: DataFrame, table: DataFrame, keys: list[str], times: str) -> DataFrame:
+    """Rows joined with a stored table by its unique keys; ``times`` says how many rows have a key. Keys of very many rows are sent to all tasks."""
+    total, most = table.agg(F.sum(times), F.max(times)).first()
+    table, limit = table.withColumnRenamed(times, "__times"), (total or 0) // HOT_KEYS
+    if (most or 0) <= max(limit, 1):
+        return rows.join(table.drop("__times"), keys)
+    hot, others = F.broadcast(table.where(F.col("__times") > max(limit, 1)).drop("__times")), table.where(F.col("__times") <= max(limit, 1)).drop("__times")
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(others, keys))
 
-    Ranks are numbers in the order of the keys: the distinct keys, range-partitioned and sorted, are
-    numbered in place and written, so that every reader sees the same numbers.
+
+def _first_level(texts: DataFrame, order: DataFrame, depth: int) -> DataFrame:
+    """Suffixes that share their first line, ranked by it. ``words_t`` is the words of the t lines from here on, as far as these are shared."""
+    each = _lines(texts, "text_id")
+    shared = each.groupBy("id_a", "id_b").agg(F.count("*").alias("times")).where("times > 1")
+    ranks = stored(_numbered(shared, ["id_a", "id_b"], "times").select("id_a", "id_b", "times", (F.col("times_before") + 1).alias("rank")))
+    found = _joined(each, ranks, ["id_a", "id_b"], "times").join(order.select("text_id", "seq"), "text_id")
+    on = W.partitionBy("seq").orderBy("pos")
+    sums = [F.sum("words").over(on.rangeBetween(0, t - 1)).alias(f"words_{t}") for t in range(1, depth)]
+    return stored(found.select("seq", "pos", "n", "rank", F.lit(False).alias("final"), F.lit(0).alias("level"), *sums))
+
+
+def _doubled(state: DataFrame, step: int, level: int) -> DataFrame:
+    """The state by twice as many lines, without the sequences that have nothing left to rank."""
+    on = W.partitionBy("seq").orderBy("pos")
+    looked = state.withColumn("ahead", F.max("rank").over(on.rangeBetween(step, step))).withColumn("open", F.max(~F.col("final")).over(W.partitionBy("seq")))
+    looked = stored(looked.where("open").drop("open"))
+    end, alone = F.col("pos") + step >= F.col("n"), F.col("ahead").isNull()
+    keys = ["rank", "next", "next_seq", "next_pos"]
+    going = looked.where(~F.col("final")).withColumn("next", F.when(end, 0).when(alone, _ALONE).otherwise(F.col("ahead")))
+    lone = F.col("next") == _ALONE
+    going = going.withColumns({"next_seq": F.when(lone, F.col("seq")).otherwise(-1), "next_pos": F.when(lone, F.col("pos")).otherwise(-1)})
+    pairs = going.groupBy(*keys).agg(F.count("*").alias("times"))
+    pairs = stored(_numbered(pairs, keys, "times"))
+    first = stored(pairs.groupBy("rank").agg(F.min("times_before").alias("first"), F.count("*").alias("pairs")))
+    ranks = _joined(pairs, first, ["rank"], "pairs").select(*keys, "times", (F.col("rank") + F.col("times_before") - F.col("first")).alias("better"), F.col("times").alias("mates"))
+    again = _joined(going, stored(ranks), keys, "times")
+    # suffixes of one rank that are shorter than the lines that count now are equal to their ends
+    final = (F.col("mates") == 1) | (F.col("n") - F.col("pos") < 2 * step)
+    again = again.withColumns({"rank": F.col("better"), "final": final, "level": F.lit(level)})
+    return stored(looked.where("final").select(*state.columns).unionByName(again.select(*state.columns)))
+
+
+def suffix_array(docs: DataFrame, depth: int = MIN_RUN) -> tuple[DataFrame, DataFrame]:
+    """The suffix array of the texts' line ids, and (seq, key, first id) of the texts; seq keeps the order of the documents.
+
+    The array has all suffixes whose first line another one has: its place (from 0), seq, pos, the number of lines that
+    it shares with the suffix before it, and the words of its first lines. Ids order lines that are shared; a line that is not comes after
+    these, and the end of a text before; suffixes equal to their texts' ends are ordered by seq and pos.
     """
-    keys = rows.groupBy(*key).agg(F.count("*").alias("times")).where("times > 1").select(*key)
-    ranks = stored(keys.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("rank", F.monotonically_increasing_id()))
-    return rows.join(ranks, key).drop(*key)
+    texts = stored(_texts(docs).withColumn("text_id", F.monotonically_increasing_id()))
+    order = stored(texts.select("text_id", *_ROW, *_OWNER).repartitionByRange(*_OWNER, *_ROW).sortWithinPartitions(*_OWNER, *_ROW).withColumn("seq", F.monotonically_increasing_id()))
+    levels = [_first_level(texts, order, depth)]
+    while not levels[-1].where("not final").isEmpty():
+        levels.append(_doubled(levels[-1], 1 << (len(levels) - 1), len(levels)))
+    # each suffix from the level that made its rank final
+    sums = [f"words_{t}" for t in range(1, depth)]
+    done = [x.where(F.col("final") & (F.col("level") == k)).select("rank", "seq", "pos", *sums, F.lit(1).alias("one")) for k, x in enumerate(levels)]
+    every = done[0]
+    for x in done[1:]:
+        every = every.unionByName(x)
+    placed = stored(_numbered(every, ["rank", "seq", "pos"], "one").drop("one", "rank").withColumnRenamed("one_before", "place"))
+    before = placed.select((F.col("place") + 1).alias("place"), F.col("seq").alias("seq_b"), F.col("pos").alias("pos_b"))
+    pairs = placed.select("place", F.col("seq").alias("seq_a"), F.col("pos").alias("pos_a")).join(before, "place").withColumn("lcp", F.lit(0))
+    for k in reversed(range(len(levels))):
+        level = levels[k].where("not final").select("seq", "pos", "rank")
+        for side in "ab":
+            mine = level.select(F.col("seq").alias(f"seq_{side}"), F.col("pos").alias(f"at_{side}"), F.col("rank").alias(f"rank_{side}"))
+            pairs = pairs.withColumn(f"at_{side}", F.col(f"pos_{side}") + F.col("lcp")).join(mine, [f"seq_{side}", f"at_{side}"], "left")
+        more = F.when(F.col("rank_a") == F.col("rank_b"), 1 << k).otherwise(0)
+        pairs = pairs.select("place", "seq_a", "pos_a", "seq_b", "pos_b", (F.col("lcp") + more).alias("lcp"))
+    found = placed.join(pairs.select("place", "lcp"), "place", "left").withColumn("lcp", F.coalesce("lcp", F.lit(0)))
+    return stored(found), order
 
 
-def _pairs(ranks: DataFrame, step: int) -> DataFrame:
-    """Each suffix's rank beside the one that begins ``step`` lines on."""
-    ahead = ranks.select(*_ROW, (F.col("pos") - step).alias("pos"), F.col("rank").alias("next"))
-    return ranks.withColumnRenamed("rank", "here").join(ahead, [*_ROW, "pos"])
+def _intervals(array: DataFrame, depth: int) -> DataFrame:
+    """The suffix array with, for each t up to ``depth``, the number of the interval of t lines that a suffix is in."""
+    edges = array.withColumns({f"edge_{t}": F.when(F.col("lcp") < t, 1).otherwise(0) for t in range(1, depth + 1)})
+    found = _numbered(edges, ["place"], *[f"edge_{t}" for t in range(1, depth + 1)])
+    return stored(found.select(*array.columns, *[(F.col(f"edge_{t}") + F.col(f"edge_{t}_before")).alias(f"interval_{t}") for t in range(1, depth + 1)]))
+
+
+def _later(intervals: DataFrame, t: int) -> DataFrame:
+    """Suffixes that share their first t lines with an earlier one."""
+    key = f"interval_{t}"
+    first = intervals.groupBy(key).agg(F.count("*").alias("times"), F.min(F.struct("seq", "pos")).alias("first")).where("times > 1")
+    return _joined(intervals, stored(first), [key], "times").where(F.struct("seq", "pos") > F.col("first"))
 
 
 def suffixes(docs: DataFrame, depth: int = MIN_RUN) -> DataFrame:
-    """Suffixes of at least ``depth`` lines that share their first ``depth`` with another, with their rank by these."""
-    ranks = _ranked(sequences(docs), ["id_a", "id_b"])
-    # rows that repeat as a whole are one sequence
-    ranks = stored(ranks.dropDuplicates([*_ROW, "pos"]))
-    covered = 1
-    while covered < depth:
-        step = min(covered, depth - covered)
-        ranks = stored(_ranked(_pairs(ranks, step), ["here", "next"]))
-        covered += step
-    return ranks
-
-
-def removed_lines(docs: DataFrame, depth: int = MIN_RUN) -> DataFrame:
-    """(row key, places of the lines to delete, among counting lines and among all) of the texts that lose some."""
-    found = suffixes(docs, depth)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *_ROW, "pos")
-    first = found.groupBy("rank").agg(F.min(order).alias("first"))
-    later = found.join(first, "rank").where(order > F.col("first"))
-    # a place among all lines is looked up again from the text: here it is enough to know the counting ones
-    each = later.select(*_ROW, F.explode(F.sequence(F.col("pos"), F.col("pos") + depth - 1)).alias("pos"))
-    return each.groupBy(*_ROW).agg(F.collect_set("pos").alias("gone"))
-
-
-def dedup(docs: DataFrame, depth: int = MIN_RUN) -> DataFrame:
+    """Suffixes that share their first ``depth`` lines with another, with their place in the suffix array as ``rank``."""
+    array, order = suffix_array(docs, depth)
+    intervals, key = _intervals(array, depth), f"interval_{depth}"
+    several = intervals.groupBy(key).agg(F.count("*").alias("times")).where("times > 1")
+    return _joined(intervals, stored(several), [key], "times").join(order, "seq").select(*_ROW, "pos", F.col("place").alias("rank"), "lcp")
+
+
+def removed_lines(docs: DataFrame, depth: int = MIN_RUN, min_words: int | None = None) -> DataFrame:
+    """(text key, places of the lines to delete among those that count) of the texts that lose some where they stand first."""
+    array, order = suffix_array(docs, depth)
+    intervals = _intervals(array, depth)
+    parts = []
+    for t in range(1 if min_words else depth, depth + 1):
+        later = _later(intervals, t)
+        if t < depth:
+            later = later.where(F.col(f"words_{t}") >= min_words)
+        parts.append(later.select("seq", F.explode(F.sequence(F.col("pos"), F.col("pos") + t - 1)).alias("pos")))
+    each = parts[0]
+    for part in parts[1:]:
+        each = each.unionByName(part)
+    return each.groupBy("seq").agg(F.collect_set("pos").alias("gone")).join(order, "seq").select(*_ROW, "gone")
+
+
+def dedup(docs: DataFrame, depth: int = MIN_RUN, min_words: int | None = None) -> DataFrame:
     """Every row's id, kept text, and numbers of lines, deleted lines and deleted runs.
 
-    A run is deleted if an earlier place begins with the same ``depth`` lines or more: earlier in the same
-    text, or in a text with a smaller id (null last; of equal ids one text goes first throughout). Of rows
-    alike in id and text the first is judged so, and the others are later copies of it as a whole, if they
-    have ``depth`` lines. Empty lines are neither counted nor deleted. A null text has no lines and stays
-    null; an empty table gives an empty one; other columns stay behind.
+    A run of lines is deleted if an earlier place begins with the same lines, and it has ``depth`` lines or more, or, where
+    ``min_words`` is given, so many words: earlier in the same text, or in a text with a smaller id (null last; of equal ids one
+    text goes first throughout). Of rows alike in id and text one is judged so, and the others are later copies of it as a whole.
+    Empty lines are neither counted nor deleted. A null text has no lines and stays null; a long text is a longer sequence, its
+    lines dealt like all others; an empty table gives an empty one; other columns stay behind, whatever their names.
     """
-    gone = removed_lines(docs, depth)
-    text = _row(docs)
-    again = text.groupBy(*_ROW).agg(F.count("*").alias("copies")).where("copies > 1")
-    rows = text.join(gone, _ROW, "left")
-    again = stored(again)
-    one = rows.join(again, _ROW, "left_anti").withColumn("copy", F.lit(0))
-    # alike rows are grouped first: one line carries their number, and the text once
-    alike = rows.join(again, _ROW).groupBy(*_ROW, "copies").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first("gone").alias("gone"))
-    alike = alike.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).drop("copies")
-    every = one.withColumn("copy", F.col("copy").cast("long")).unionByName(alike)
-    lines = every.withColumn("lines", _split(F.col("text"))).withColumn("full", F.transform(_full(F.col("lines")), lambda s: s["line"]))
-    whole = (F.col("copy") > 0) & (F.size("full") >= depth)
-    lines = lines.withColumn("gone", F.when(whole, F.sequence(F.lit(0), F.size("full") - 1)).otherwise(F.coalesce("gone", F.array().cast("array<int>"))))
+    rows = _row(docs)
+    alike = rows.where("text is not null").groupBy(*_ROW, "doc_id").agg(F.count("*").alias("alike"))
+    several = alike.groupBy(*_ROW).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "alike")).alias("owner"), F.sum("alike").alias("copies")).where("copies > 1")
+    about = stored(several.join(removed_lines(docs, depth, min_words), _ROW, "full"))
+    joined = rows.join(about, _ROW, "left")
+    owned = F.col("owner").isNull() | F.col("doc_id").eqNullSafe(F.col("owner.doc_id"))  # no owner: the only row of its text
+    one = joined.withColumn("copy", ~owned)
+    if not about.where("owner.alike > 1").isEmpty():
+        again = F.coalesce(owned & (F.col("owner.alike") > 1), F.lit(False))
+        first = F.first("text").alias("text"), F.first("owner.alike").alias("alike"), F.first("gone").alias("gone")
+        same = joined.where(again).groupBy(*_ROW, "doc_id").agg(*first)
+        same = repeated(same, "alike", "number").withColumn("copy", F.col("number") > 0)
+        one = one.where(~again).select("doc_id", "text", "gone", "copy").unionByName(same.select("doc_id", "text", "gone", "copy"))
+    lines = one.withColumn("lines", _split(F.col("text"))).withColumn("each", _full(F.col("lines")))
+    lines = lines.withColumn("full", F.transform("each", lambda s: s["line"]))
+    whole = F.size("full") >= depth
+    if min_words:
+        whole = whole | (F.aggregate("each", F.lit(0), lambda n, s: n + s["words"]) >= min_words)
+    none = F.array().cast("array<int>")
+    every = F.when(whole & (F.size("full") > 0), F.sequence(F.lit(0), F.size("full") - 1)).otherwise(none)
+    lines = lines.withColumn("gone", F.when(F.col("copy"), every).otherwise(F.coalesce("gone", none)))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.transform("gone", lambda p: F.get("full", p)))
     kept_text = F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n")
     starts = F.array_except("gone", F.transform("gone", lambda p: p + 1))
@@ -120,24 +248,29 @@ def dedup(docs: DataFrame, depth: int = MIN_RUN) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    return dedup(docs).select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return dedup(docs, MIN_RUN, MIN_WORDS).select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+#: The query's rows in plain SQL.
 ORACLE = r"""
 WITH raw AS (
     SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents
 ), each AS (
     SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS place FROM raw
 ), counting AS (
-    SELECT doc_id, line, place, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS pos
+    SELECT doc_id, line, place, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS pos, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
     FROM each WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), windows AS (
-    SELECT doc_id, pos, line AS a, lead(line, 1) OVER w AS b, lead(line, 2) OVER w AS c
+    SELECT doc_id, pos, line AS a, lead(line, 1) OVER w AS b, lead(line, 2) OVER w AS c, words AS words_1, words + lead(words, 1) OVER w AS words_2
     FROM counting WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
 ), numbered AS (
-    SELECT doc_id, pos, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, pos) AS copy FROM windows WHERE c IS NOT NULL
+    SELECT doc_id, pos, 3 AS t, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, pos) AS copy FROM windows WHERE c IS NOT NULL
+    UNION ALL
+    SELECT doc_id, pos, 2 AS t, row_number() OVER (PARTITION BY a, b ORDER BY doc_id, pos) AS copy FROM windows WHERE b IS NOT NULL AND words_2 >= 50
+    UNION ALL
+    SELECT doc_id, pos, 1 AS t, row_number() OVER (PARTITION BY a ORDER BY doc_id, pos) AS copy FROM windows WHERE words_1 >= 50
 ), later AS (
-    SELECT DISTINCT doc_id, pos + k AS pos FROM numbered, (SELECT unnest(range(0, 3)) AS k) AS steps WHERE copy > 1
+    SELECT DISTINCT doc_id, pos + k AS pos FROM numbered, (SELECT unnest(range(0, 3)) AS k) AS steps WHERE copy > 1 AND k < t
 ), runs AS (
     SELECT doc_id, count(*) AS n_removed, sum(CASE WHEN before IS NULL OR before < pos - 1 THEN 1 ELSE 0 END) AS n_runs
     FROM (SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM later) AS l GROUP BY doc_id

@@ -7,15 +7,16 @@ characters. Texts that are equal as a whole are one sequence.
    suffix array, of equal ones the first. Doubling refines: the rank by 2d lines follows from the rank by d lines here and
    the one d lines on. A rank that is one suffix's alone is final, and a sequence whose ranks are all final
    leaves. Where a line that nothing else has is d lines on, no suffix agrees further, and where the text ends there,
-   nothing is left to compare; doubling goes on until all ranks are final, however long the repeats.
-2. The longest common prefix of neighbours in the suffix array comes from the doubling's levels, the longest first:
-   neighbours of one rank at a level of d lines share d lines more.
+   nothing is left to compare; doubling goes on until all ranks are final, however long the repeats. A suffix's path, its
+   ranks by 1, 2, 4, ... lines, orders it among all.
+2. The longest common prefix of neighbours in the suffix array comes from the doubling's levels: where paths part after the
+   rank by d lines, the suffixes share d lines, and what follows these is compared in the same way.
 3. Suffixes in a row that share t lines or more are an interval. Its first suffix in order of the documents stays, and the t
    lines that the others begin with are deleted, if t is ``depth``, or if they have ``min_words`` words.
    A maximal repeated run is a chain of such suffixes, each a line on.
 
-Everything runs as built-in functions in the JVM. A key that very many rows share (a line in a third of all documents) is
-joined by broadcast: at most ``HOT_KEYS`` keys can have more than one in ``HOT_KEYS`` of all rows.
+Everything runs as built-in functions in the JVM. Ranks are joined from written tables with one row for each key, so a key
+that very many rows share (a line in a third of all documents) is a join of which Spark can split the other side.
 """
 
 from __future__ import annotations
@@ -29,7 +30,6 @@ from .common import repeated, stored
 MIN_RUN = 3
 #: A shorter run goes, too, if it has so many words.
 MIN_WORDS = 50
-HOT_KEYS = 1000
 _ROW = ["row_a", "row_b"]
 _OWNER = ["none", "doc_id"]
 #: What stands for a line that no other suffix begins with, where one is looked up.
@@ -79,68 +79,72 @@ def sequences(docs: DataFrame) -> DataFrame:
     return _lines(_texts(docs), *_ROW)
 
 
-def _numbered(rows: DataFrame, keys: list[str], *weights: str) -> DataFrame:
-    """The rows with, for each weight, its sum over all rows before them in the order of their keys, as ``<weight>_before``.
+def _ranked(keys: DataFrame, by: list[str]) -> DataFrame:
+    """Distinct keys with their ranks, numbers in the order of the keys: dealt by ranges, sorted, numbered in place and written, so that every reader sees the same."""
+    return stored(keys.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("rank", F.monotonically_increasing_id()))
 
-    The rows are dealt by ranges of the keys; sums run inside a range, and a table with one line for each range has what stands before it.
+
+def _running(placed: DataFrame, by: list[str], weights: list[str]) -> DataFrame:
+    """A table that is dealt by ranges of keys, with the sum of each weight up to each row in place of the weight.
+
+    Sums run inside a range; a table with one line for each range has what stands before it.
     """
-    placed = stored(rows.repartitionByRange(*keys).withColumn("range", F.spark_partition_id()))
     before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     totals = placed.groupBy("range").agg(*[F.sum(w).alias(w) for w in weights])
     totals = totals.select("range", *[F.coalesce(F.sum(w).over(before), F.lit(0)).alias(f"{w}_first") for w in weights])
-    inside = W.partitionBy("range").orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)
-    found = placed.withColumns({f"{w}_before": F.coalesce(F.sum(w).over(inside), F.lit(0)) for w in weights}).join(F.broadcast(totals), "range")
-    return found.select(*rows.columns, *[(F.col(f"{w}_before") + F.col(f"{w}_first")).alias(f"{w}_before") for w in weights])
+    inside = W.partitionBy("range").orderBy(*by).rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = placed.withColumns({w: F.sum(w).over(inside) for w in weights}).join(F.broadcast(totals), "range")
+    return found.withColumns({w: F.col(w) + F.col(f"{w}_first") for w in weights}).drop(*[f"{w}_first" for w in weights])
 
 
-def _joined(rows: DataFrame, table: DataFrame, keys: list[str], times: str) -> DataFrame:
-    """Rows joined with a stored table by its unique keys; ``times`` says how many rows have a key. Keys of very many rows are sent to all tasks."""
-    total, most = table.agg(F.sum(times), F.max(times)).first()
-    table, limit = table.withColumnRenamed(times, "__times"), (total or 0) // HOT_KEYS
-    if (most or 0) <= max(limit, 1):
-        return rows.join(table.drop("__times"), keys)
-    hot, others = F.broadcast(table.where(F.col("__times") > max(limit, 1)).drop("__times")), table.where(F.col("__times") <= max(limit, 1)).drop("__times")
-    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(others, keys))
+def _looking_ahead(rows: DataFrame, step: int) -> DataFrame:
+    """The rows of the sequences that have an open suffix, each with the path of the suffix ``step`` lines on."""
+    on = W.partitionBy("seq").orderBy("pos")
+    looked = rows.withColumn("ahead", F.max("path").over(on.rangeBetween(step, step))).withColumn("open", F.max(~F.col("final")).over(W.partitionBy("seq")))
+    return stored(looked)
 
 
 def _first_level(texts: DataFrame, order: DataFrame, depth: int) -> DataFrame:
     """Suffixes that share their first line, ranked by it. ``words_t`` is the words of the t lines from here on, as far as these are shared."""
     each = _lines(texts, "text_id")
     shared = each.groupBy("id_a", "id_b").agg(F.count("*").alias("times")).where("times > 1")
-    ranks = stored(_numbered(shared, ["id_a", "id_b"], "times").select("id_a", "id_b", "times", (F.col("times_before") + 1).alias("rank")))
-    found = _joined(each, ranks, ["id_a", "id_b"], "times").join(order.select("text_id", "seq"), "text_id")
+    found = each.join(_ranked(shared.select("id_a", "id_b"), ["id_a", "id_b"]), ["id_a", "id_b"]).join(order.select("text_id", "seq"), "text_id")
     on = W.partitionBy("seq").orderBy("pos")
     sums = [F.sum("words").over(on.rangeBetween(0, t - 1)).alias(f"words_{t}") for t in range(1, depth)]
-    return stored(found.select("seq", "pos", "n", "rank", F.lit(False).alias("final"), F.lit(0).alias("level"), *sums))
+    rows = found.select("seq", "pos", "n", F.array("rank").alias("path"), F.lit(False).alias("final"), F.lit(0).alias("level"), *sums)
+    return _looking_ahead(rows, 1)
 
 
 def _doubled(state: DataFrame, step: int, level: int) -> DataFrame:
-    """The state by twice as many lines, without the sequences that have nothing left to rank."""
-    on = W.partitionBy("seq").orderBy("pos")
-    looked = state.withColumn("ahead", F.max("rank").over(on.rangeBetween(step, step))).withColumn("open", F.max(~F.col("final")).over(W.partitionBy("seq")))
-    looked = stored(looked.where("open").drop("open"))
-    end, alone = F.col("pos") + step >= F.col("n"), F.col("ahead").isNull()
-    keys = ["rank", "next", "next_seq", "next_pos"]
-    going = looked.where(~F.col("final")).withColumn("next", F.when(end, 0).when(alone, _ALONE).otherwise(F.col("ahead")))
-    lone = F.col("next") == _ALONE
-    going = going.withColumns({"next_seq": F.when(lone, F.col("seq")).otherwise(-1), "next_pos": F.when(lone, F.col("pos")).otherwise(-1)})
-    pairs = going.groupBy(*keys).agg(F.count("*").alias("times"))
-    pairs = stored(_numbered(pairs, keys, "times"))
-    first = stored(pairs.groupBy("rank").agg(F.min("times_before").alias("first"), F.count("*").alias("pairs")))
-    ranks = _joined(pairs, first, ["rank"], "pairs").select(*keys, "times", (F.col("rank") + F.col("times_before") - F.col("first")).alias("better"), F.col("times").alias("mates"))
-    again = _joined(going, stored(ranks), keys, "times")
+    """The state by twice as many lines, of the sequences that have something left to rank."""
+    end = F.array().cast("array<bigint>")
+    alone = F.array(F.lit(_ALONE).cast("long"), F.col("seq"), F.col("pos").cast("long"))
+    ahead = F.when(F.col("pos") + step >= F.col("n"), end).otherwise(F.coalesce("ahead", alone))
+    going = state.where("open and not final").withColumns({"here": F.element_at("path", -1), "next": ahead})
+    keys = going.groupBy("here", "next").agg(F.count("*").alias("times"))
+    again = going.join(_ranked(keys, ["here", "next"]), ["here", "next"])
     # suffixes of one rank that are shorter than the lines that count now are equal to their ends
-    final = (F.col("mates") == 1) | (F.col("n") - F.col("pos") < 2 * step)
-    again = again.withColumns({"rank": F.col("better"), "final": final, "level": F.lit(level)})
-    return stored(looked.where("final").select(*state.columns).unionByName(again.select(*state.columns)))
+    final = (F.col("times") == 1) | (F.col("n") - F.col("pos") < 2 * step)
+    again = again.withColumns({"path": F.concat("path", F.array("rank")), "final": final, "level": F.lit(level)})
+    names = [c for c in state.columns if c not in ("ahead", "open")]
+    return _looking_ahead(state.where("open and final").select(*names).unionByName(again.select(*names)), 2 * step)
+
+
+def _agreed(a: Column, b: Column) -> Column:
+    """Lines that two suffixes share at once, by their paths: 2^(k-1), if the first k ranks are the same. Equal paths end with a rank that is too short to count."""
+    least = F.least(F.size(a), F.size(b))
+    apart = F.array_position(F.transform(F.sequence(F.lit(0), least - 1), lambda i: F.get(a, i) != F.get(b, i)), True).cast("int")
+    k = F.when(apart > 0, apart - 1).otherwise(least - 1)
+    return F.when(a.isNull() | b.isNull() | (k < 1), 0).otherwise(F.call_function("shiftleft", F.lit(1), k - 1))
 
 
 def suffix_array(docs: DataFrame, depth: int = MIN_RUN) -> tuple[DataFrame, DataFrame]:
     """The suffix array of the texts' line ids, and (seq, key, first id) of the texts; seq keeps the order of the documents.
 
-    The array has all suffixes whose first line another one has: its place (from 0), seq, pos, the number of lines that
-    it shares with the suffix before it, and the words of its first lines. Ids order lines that are shared; a line that is not comes after
-    these, and the end of a text before; suffixes equal to their texts' ends are ordered by seq and pos.
+    The array has all suffixes whose first line another one has, in order of ``range``, path, seq and pos: path, the suffix's
+    ranks by 1, 2, 4, ... lines; ``lcp``, the number of lines that it shares with the suffix before it; and the words of its first
+    lines. Ids order lines that are shared; a line that is not comes after these, and the end of a text before; suffixes equal to their
+    texts' ends are ordered by seq and pos.
     """
     texts = stored(_texts(docs).withColumn("text_id", F.monotonically_increasing_id()))
     order = stored(texts.select("text_id", *_ROW, *_OWNER).repartitionByRange(*_OWNER, *_ROW).sortWithinPartitions(*_OWNER, *_ROW).withColumn("seq", F.monotonically_increasing_id()))
@@ -148,37 +152,45 @@ def suffix_array(docs: DataFrame, depth: int = MIN_RUN) -> tuple[DataFrame, Data
     while not levels[-1].where("not final").isEmpty():
         levels.append(_doubled(levels[-1], 1 << (len(levels) - 1), len(levels)))
     # each suffix from the level that made its rank final
-    sums = [f"words_{t}" for t in range(1, depth)]
-    done = [x.where(F.col("final") & (F.col("level") == k)).select("rank", "seq", "pos", *sums, F.lit(1).alias("one")) for k, x in enumerate(levels)]
+    done = [x.where(F.col("final") & (F.col("level") == k)) for k, x in enumerate(levels)]
     every = done[0]
     for x in done[1:]:
         every = every.unionByName(x)
-    placed = stored(_numbered(every, ["rank", "seq", "pos"], "one").drop("one", "rank").withColumnRenamed("one_before", "place"))
-    before = placed.select((F.col("place") + 1).alias("place"), F.col("seq").alias("seq_b"), F.col("pos").alias("pos_b"))
-    pairs = placed.select("place", F.col("seq").alias("seq_a"), F.col("pos").alias("pos_a")).join(before, "place").withColumn("lcp", F.lit(0))
-    for k in reversed(range(len(levels))):
-        level = levels[k].where("not final").select("seq", "pos", "rank")
-        for side in "ab":
-            mine = level.select(F.col("seq").alias(f"seq_{side}"), F.col("pos").alias(f"at_{side}"), F.col("rank").alias(f"rank_{side}"))
-            pairs = pairs.withColumn(f"at_{side}", F.col(f"pos_{side}") + F.col("lcp")).join(mine, [f"seq_{side}", f"at_{side}"], "left")
-        more = F.when(F.col("rank_a") == F.col("rank_b"), 1 << k).otherwise(0)
-        pairs = pairs.select("place", "seq_a", "pos_a", "seq_b", "pos_b", (F.col("lcp") + more).alias("lcp"))
-    found = placed.join(pairs.select("place", "lcp"), "place", "left").withColumn("lcp", F.coalesce("lcp", F.lit(0)))
-    return stored(found), order
+    by = ["path", "seq", "pos"]
+    every = every.select(*by, *[f"words_{t}" for t in range(1, depth)])
+    placed = stored(every.repartitionByRange(*by).withColumn("range", F.spark_partition_id()))
+    here, on = F.struct(*by), W.partitionBy("range").orderBy(*by)
+    ends = placed.groupBy("range").agg(F.max(here).alias("last")).select("range", F.lag("last").over(W.orderBy("range")).alias("last"))
+    pairs = placed.withColumn("inside", F.lag(here).over(on)).join(F.broadcast(ends), "range").withColumn("before", F.coalesce("inside", "last"))
+    agreed = F.coalesce(_agreed(F.col("path"), F.col("before.path")), F.lit(0))
+    pairs = pairs.select(*placed.columns, F.col("before.seq").alias("seq_b"), F.col("before.pos").alias("pos_b"), agreed.alias("lcp"), agreed.alias("more"))
+    parts = [stored(pairs)]
+    paths = placed.select("seq", "pos", "path")
+    # two lines or more: where they end, the rest may agree by less
+    while not parts[-1].where("more > 1").isEmpty():
+        going = parts[-1].where("more > 1")
+        for side, seq, pos in (("a", "seq", "pos"), ("b", "seq_b", "pos_b")):
+            mine = paths.select(F.col("seq").alias(seq), F.col("pos").alias(f"at_{side}"), F.col("path").alias(f"path_{side}"))
+            going = going.withColumn(f"at_{side}", F.col(pos) + F.col("lcp")).join(mine, [seq, f"at_{side}"], "left")
+        going = going.withColumn("more", F.coalesce(_agreed(F.col("path_a"), F.col("path_b")), F.lit(0))).withColumn("lcp", F.col("lcp") + F.col("more"))
+        parts.append(stored(going.select(*parts[0].columns)))
+    found = parts[0].where("more <= 1")
+    for part in parts[1:]:
+        found = found.unionByName(part.where("more <= 1"))
+    return found.drop("seq_b", "pos_b", "more"), order
 
 
 def _intervals(array: DataFrame, depth: int) -> DataFrame:
-    """The suffix array with, for each t up to ``depth``, the number of the interval of t lines that a suffix is in."""
-    edges = array.withColumns({f"edge_{t}": F.when(F.col("lcp") < t, 1).otherwise(0) for t in range(1, depth + 1)})
-    found = _numbered(edges, ["place"], *[f"edge_{t}" for t in range(1, depth + 1)])
-    return stored(found.select(*array.columns, *[(F.col(f"edge_{t}") + F.col(f"edge_{t}_before")).alias(f"interval_{t}") for t in range(1, depth + 1)]))
+    """The suffix array with the suffixes' places in it from 1, and for each t up to ``depth`` the number of the interval of t lines that a suffix is in."""
+    edges = {f"interval_{t}": F.when(F.col("lcp") < t, 1).otherwise(0) for t in range(1, depth + 1)}
+    return stored(_running(array.withColumns(edges).withColumn("place", F.lit(1)), ["path", "seq", "pos"], [*edges, "place"]).drop("path", "range"))
 
 
 def _later(intervals: DataFrame, t: int) -> DataFrame:
     """Suffixes that share their first t lines with an earlier one."""
     key = f"interval_{t}"
     first = intervals.groupBy(key).agg(F.count("*").alias("times"), F.min(F.struct("seq", "pos")).alias("first")).where("times > 1")
-    return _joined(intervals, stored(first), [key], "times").where(F.struct("seq", "pos") > F.col("first"))
+    return intervals.join(stored(first), key).where(F.struct("seq", "pos") > F.col("first"))
 
 
 def suffixes(docs: DataFrame, depth: int = MIN_RUN) -> DataFrame:
@@ -186,7 +198,7 @@ def suffixes(docs: DataFrame, depth: int = MIN_RUN) -> DataFrame:
     array, order = suffix_array(docs, depth)
     intervals, key = _intervals(array, depth), f"interval_{depth}"
     several = intervals.groupBy(key).agg(F.count("*").alias("times")).where("times > 1")
-    return _joined(intervals, stored(several), [key], "times").join(order, "seq").select(*_ROW, "pos", F.col("place").alias("rank"), "lcp")
+    return intervals.join(several, key).join(order, "seq").select(*_ROW, "pos", F.col("place").alias("rank"), "lcp")
 
 
 def removed_lines(docs: DataFrame, depth: int = MIN_RUN, min_words: int | None = None) -> DataFrame:

@@ -230,7 +230,8 @@ def dedup(docs: DataFrame, depth: int = MIN_RUN, min_words: int | None = None) -
     alike = rows.where("text is not null").groupBy(*_ROW, "doc_id").agg(F.count("*").alias("alike"))
     several = alike.groupBy(*_ROW).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "alike")).alias("owner"), F.sum("alike").alias("copies")).where("copies > 1")
     about = stored(several.join(removed_lines(docs, depth, min_words), _ROW, "full"))
-    joined = rows.join(about, _ROW, "left")
+    # what is found grows with the corpus, so it is never sent to all tasks
+    joined = rows.join(about.hint("merge"), _ROW, "left")
     owned = F.col("owner").isNull() | F.col("doc_id").eqNullSafe(F.col("owner.doc_id"))  # no owner: the only row of its text
     one = joined.withColumn("copy", ~owned)
     if not about.where("owner.alike > 1").isEmpty():
@@ -239,11 +240,12 @@ def dedup(docs: DataFrame, depth: int = MIN_RUN, min_words: int | None = None) -
         same = joined.where(again).groupBy(*_ROW, "doc_id").agg(*first)
         same = repeated(same, "alike", "number").withColumn("copy", F.col("number") > 0)
         one = one.where(~again).select("doc_id", "text", "gone", "copy").unionByName(same.select("doc_id", "text", "gone", "copy"))
-    lines = one.withColumn("lines", _split(F.col("text"))).withColumn("each", _full(F.col("lines")))
-    lines = lines.withColumn("full", F.transform("each", lambda s: s["line"]))
+    lines = one.withColumn("lines", _split(F.col("text")))
+    placed = F.transform("lines", lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), i))
+    lines = lines.withColumn("full", F.filter(placed, lambda i: i.isNotNull()))
     whole = F.size("full") >= depth
     if min_words:
-        whole = whole | (F.aggregate("each", F.lit(0), lambda n, s: n + s["words"]) >= min_words)
+        whole = whole | (_words(F.col("text")) >= min_words)
     none = F.array().cast("array<int>")
     every = F.when(whole & (F.size("full") > 0), F.sequence(F.lit(0), F.size("full") - 1)).otherwise(none)
     lines = lines.withColumn("gone", F.when(F.col("copy"), every).otherwise(F.coalesce("gone", none)))

@@ -6,17 +6,18 @@ are left. Their suffix array gives the Burrows-Wheeler transform; a wavelet matr
 phrases search backward at once; the places of their occurrences come from sampled suffix positions by
 last-to-first steps. Occurrences merge to the spans to remove.
 
-The phrases go to the tasks in blocks of bounded size (``PHRASE_BYTES`` of item text each), one pass over the
-texts for each block, chained without a shuffle: neither table is ever joined with the other.
+The phrases go to the tasks in blocks of bounded size (``PHRASE_BYTES`` of item text each), and each shard is searched for
+one block after the other, which holds one block in memory at a time: neither table is ever joined with the other.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -180,31 +181,30 @@ def occurrences(words: np.ndarray, bounds: np.ndarray, phrases: Phrases) -> tupl
     return back[index.locate(rows)], np.repeat(hit, times[hit])
 
 
-def _pass(phrases: Phrases, carry: list[str], first: bool):
-    """A pass over the texts with one block of phrases: adds its spans and items to what earlier passes found."""
+def _search(blocks_of: list[Broadcast], carry: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Spans and items of every text. A shard's texts stay while the blocks of phrases come and go, one in memory at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text", SHARD_BYTES):
-            number, words, bounds = phrases.numbers.get, [], [0]
+            words, bounds = [], [0]
             for t in byte_texts(block.column("text")):
                 words += split(t)
                 bounds.append(len(words))
-            ids = np.fromiter((number(w, 0) for w in words), np.int64, len(words))
             bounds = np.array(bounds, np.int64)
-            at, phrase = occurrences(ids, bounds, phrases)
             edge = np.zeros(len(words) + 1, np.int64)
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + phrases.lengths[phrase], -1)
-            doc = np.searchsorted(bounds, at, "right") - 1
             items: list[set[str]] = [set() for _ in range(block.num_rows)]
-            for d, p in np.unique(np.column_stack([doc, phrase]), axis=0).tolist():
-                items[d].update(phrases.items[p])
-            if not first:
-                for k, (spans, own) in enumerate(zip(block.column("spans").to_pylist(), block.column("items").to_pylist(), strict=True)):
-                    items[k].update(own)
-                    for a, b in spans:
-                        edge[bounds[k] + a] += 1
-                        edge[bounds[k] + b] -= 1
+            for sent in blocks_of:
+                phrases = sent.value
+                ids = np.fromiter((phrases.numbers.get(w, 0) for w in words), np.int64, len(words))
+                at, phrase = occurrences(ids, bounds, phrases)
+                np.add.at(edge, at, 1)
+                np.add.at(edge, at + phrases.lengths[phrase], -1)
+                doc = np.searchsorted(bounds, at, "right") - 1
+                for d, p in np.unique(np.column_stack([doc, phrase]), axis=0).tolist():
+                    items[d].update(phrases.items[p])
+                if len(blocks_of) > 1:
+                    del phrases
+                    sent.__dict__.pop("_value", None)  # it is read again from the worker's disk
             hit = np.cumsum(edge)[:-1] > 0
             # a span ends with its text, whatever comes next
             change = np.diff(np.concatenate([[0], hit.astype(np.int8)]))
@@ -228,19 +228,24 @@ def _pass(phrases: Phrases, carry: list[str], first: bool):
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, carry: dict[str, Column] | None = None, block_bytes: int = PHRASE_BYTES) -> DataFrame:
     """Of every row: n_words, the word spans to remove (start, end), and the ids of the items that occur.
 
-    A null text has no words; rows with equal ids each get a row; items without words are not searched, an item
-    with a null id goes by the empty id, items with equal ids are one; without items nothing is hit.
+    A null text has no words, an empty one neither; a long text is one shard, however long; rows with equal ids each get a row;
+    a null id stays null. Items without words are not searched, an item with a null id goes by the empty id, items with equal ids are
+    one, and an item that repeats is searched once; without items nothing is hit. An empty table gives an empty one; other columns stay
+    behind, but for those in ``carry``, whose names must differ from the result's.
     """
-    carry = carry or {}
-    items = stored(benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text")).where("text is not null"))
+    carry, sc = carry or {}, docs.sparkSession.sparkContext
+    items = stored(benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text")).where("text is not null").distinct())
     n = max(1, -(-total_bytes(items, "text") // block_bytes))
     kinds = dict(docs.select(*[c.alias(k) for k, c in carry.items()]).dtypes)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[c.alias(k) for k, c in carry.items()])
     schema = ", ".join(["doc_id long, text string, n_words long, spans array<array<long>>, items array<string>", *(f"`{k}` {t}" for k, t in kinds.items())])
+    sent = []
     for k in range(n):
         block = [(r.item, r.text) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()]
-        rows = to_python(rows, _pass(Phrases(block, window), list(carry), k == 0), schema)
-    return rows
+        sent.append(sc.broadcast(Phrases(block, window)))
+        if n > 1:
+            sent[-1].__dict__.pop("_value", None)  # the driver keeps one block, too
+    return to_python(rows, _search(sent, list(carry)), schema)
 
 
 def judge_columns() -> dict[str, Column]:
@@ -264,7 +269,11 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that are not contaminated."""
+    """The rows of ``docs``, all columns, that are not contaminated.
+
+    Nulls, empty and long texts as in ``find``: a row without words is clean. Rows that repeat are each judged, and alike; columns
+    keep their names, whatever these are; an empty table gives an empty one.
+    """
     # the text goes along once, as what is searched
     rest = [c for c in docs.columns if c != "text"]
     found = find(docs, benchmark, carry={f"__{i}": F.col(c) for i, c in enumerate(rest)})
@@ -286,6 +295,17 @@ def cut(text: str, spans: list[list[int]]) -> str:
     return b"".join([*kept, raw[at:]]).decode()
 
 
+def without_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Every row's id and its text without the spans that benchmark items cover. A null text stays null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in batches:
+            texts = [t if t is None or not s else cut(t, s) for t, s in zip(block.column("text").to_pylist(), block.column("spans").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return to_python(find(docs, benchmark).select("doc_id", "text", "spans"), run, "doc_id long, text string")
+
+
 #: The query's rows in plain SQL.
 ORACLE = r"""
 WITH doc AS (

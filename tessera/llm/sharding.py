@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import repeated
+
 #: Parts of a shard within which slots are numbered; the table of their sizes has shards x this many rows.
 SLOT_PARTS = 1024
 
@@ -78,8 +80,9 @@ def assign(docs: DataFrame, root: Node, id_col: str = "doc_id", text_col: str =
     """Every row's shard, its slot there, and its shard if the tree had one more.
 
     Rows of equal id, size and checksum are counted first and get their slots as a range, so a row that
-    repeats without end costs one line in any shuffle. A null text has size 1 and the checksum of the empty
-    text; a null id is placed like any other; an empty table gives an empty one; other columns stay behind.
+    repeats without end costs one line in any shuffle, and is made again from it in pieces at the end. A null text has size 1 and the
+    checksum of the empty text; of a long text only size and checksum go on; a null id is placed like any other; slots go by id, then size,
+    then checksum, ties among the rows alike in these; an empty table gives an empty one; other columns stay behind.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
@@ -92,8 +95,8 @@ def assign(docs: DataFrame, root: Node, id_col: str = "doc_id", text_col: str =
     # shards x SLOT_PARTS rows at most, whatever the input
     numbered = placed.withColumn("before", F.coalesce(before, F.lit(0))).join(F.broadcast(parts), ["shard", "part"])
     start = F.col("first") + F.col("before")
-    return numbered.select(
+    return repeated(numbered, "copies", "number").select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
-        F.explode(F.sequence(start, start + F.col("copies") - 1)).alias("slot"),
+        (start + F.col("number")).alias("slot"),
         place(F.col("doc_id"), grown(root)).alias("grown_shard"),
     )

@@ -225,7 +225,11 @@ def encoder(spec: str) -> Encoder:
 
 
 def write(docs: DataFrame, spec: str, path: str, end: int = END_ID) -> None:
-    """Encode every text (null: empty) and write the ids as ORC, in ascending order of the document ids (null first, ties by a hash of the text, then the text)."""
+    """Encode every text (null: empty) and write the ids as ORC, in ascending order of the document ids.
+
+    A null id comes first; ties go by a hash of the text, then the text; rows that repeat are each encoded; a long text
+    is encoded whole, in one row; an empty table has files without rows; other columns stay behind, whatever their names.
+    """
     rows = keyed_texts(docs)
     # the driver samples the keys to deal by, so they hold no text
     tie = F.xxhash64("text")
@@ -272,7 +276,7 @@ def digest(files: DataFrame) -> DataFrame:
 
 
 def encode_and_digest(docs: DataFrame, spec: str, path: str | None = None) -> DataFrame:
-    """Write the files, then describe every document from them. An empty table has files without rows."""
+    """Write the files, then describe every document from them: a row for each row of ``docs``, odd ones as in ``write``."""
     path = path or shared_folder(docs.sparkSession)
     write(docs, spec, path)
     return digest(read(docs.sparkSession, path))

@@ -62,11 +62,18 @@ def test_odd_rows(spark):
     assert D.report(docs.limit(0), bench).count() == 0
 
 
+class Sent:
+    """A broadcast value, as a task sees it."""
+
+    def __init__(self, value):
+        self.value = value
+
+
 @settings(max_examples=80, deadline=None, derandomize=True)
 @given(st.lists(st.text("abc ", max_size=30), max_size=6), st.lists(st.text("abc ", min_size=1, max_size=12), max_size=5))
 def test_random_texts(texts, items):
     p = D.Phrases(list(map(tuple, zip(map(str, range(len(items))), items, strict=True))), 3)
-    out = list(D._pass(p, [], True)(iter([D.pa.RecordBatch.from_arrays([D.pa.array(range(len(texts)), D.pa.int64()), D.pa.array(texts, D.pa.string())], names=["doc_id", "text"])])))
+    out = list(D._search([Sent(p)], [])(iter([D.pa.RecordBatch.from_arrays([D.pa.array(range(len(texts)), D.pa.int64()), D.pa.array(texts, D.pa.string())], names=["doc_id", "text"])])))
     got = [(r["doc_id"], r["n_words"], sum(b - a for a, b in r["spans"]), len(r["items"])) for b in out for r in b.to_pylist()]
     assert got == [w[:4] for w in brute(list(enumerate(texts)), list(enumerate(items)), 3)]
 
@@ -84,3 +91,24 @@ def test_index():
 
 def test_cut():
     assert D.cut("A b, C-d é f.", [[1, 3], [4, 5]]) == "A -d  f."
+
+
+def test_clean_stage_on_odd_rows(spark):
+    """Nulls, repeated rows and clashing names; a row without words is clean, and each of several rows alike is judged."""
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, long, 1, "a"), (1, long, 1, "a"), (2, None, 2, None), (2, None, 2, None), (3, "", 3, "b"), (None, "clean text", 4, "c"), (None, long, 5, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_hit int, spans string")
+    bench = spark.createDataFrame([(1, long), (1, long), (None, None)], "item_id long, text string")
+    kept = D.keep_clean(docs, bench)
+    assert kept.columns == docs.columns and sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, rows[2:6]))
+    assert D.keep_clean(docs.limit(0), bench).count() == 0 and D.keep_clean(docs, bench.limit(0)).count() == len(rows)
+
+
+def test_spans_are_cut(spark):
+    docs, items = (read(spark, SF, t) for t in ("documents", "benchmark"))
+    found = {r.doc_id: r for r in D.find(docs, items).collect()}
+    got = {r.doc_id: r.text for r in D.without_spans(docs, items).collect()}
+    assert len(got) == len(found) and sum(bool(r.spans) for r in found.values()) > 5
+    for i, r in found.items():
+        assert got[i] == (D.cut(r.text, r.spans) if r.spans else r.text)
+        assert len(D.split(got[i].encode())) == r.n_words - sum(b - a for a, b in r.spans)

@@ -69,3 +69,43 @@ def test_cache_is_trimmed(monkeypatch):
         for t, ids in zip(texts, encode(e, texts), strict=True):
             assert ids == [*TOKENIZER.encode(t or "", add_special_tokens=False).ids, 2]
     assert len(e.starts) < 60
+
+
+def test_files_hold_indexes_and_lookups_skip_stripes(spark, tmp_path, monkeypatch):
+    """Several stripes in a file, each with a row index and a Bloom filter on doc_id; a lookup reads few row groups."""
+    monkeypatch.setattr(T, "STRIPE_BYTES", 1 << 16)
+    monkeypatch.setattr(T, "STRIDE", 1000)
+    rng = np.random.default_rng(1)
+    ids = (2**40 + 2 * rng.permutation(60_000)).tolist()  # beyond 32 bits, so that a key is a long in Java, too
+    docs = spark.createDataFrame([(i, f"text {i} of some words {i % 977} and {i % 13}") for i in ids], "doc_id long, text string")
+    path = str(tmp_path / "orc")
+    T.write(docs.coalesce(1), SPEC, path)
+    jvm, files = spark._jvm, sorted(tmp_path.glob("orc/*.orc"))
+    orc, conf = jvm.org.apache.orc, spark._jsc.hadoopConfiguration()
+    open_ = lambda f: orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(f)), orc.OrcFile.readerOptions(conf))
+    stripes, rows_in = 0, {}
+    for f in files:
+        reader = open_(f)
+        assert reader.getRowIndexStride() == 1000
+        inside = reader.rows()
+        for stripe in reader.getStripes():
+            kinds = [(s.getColumn(), s.getKind().toString()) for s in inside.readStripeFooter(stripe).getStreamsList()]
+            stripes += 1
+            column = reader.getSchema().getFieldNames().index("doc_id") + 1
+            assert (column, "BLOOM_FILTER_UTF8") in kinds and {(column, "ROW_INDEX"), (5, "ROW_INDEX")} <= set(kinds)
+        rows_in[f] = reader.getNumberOfRows()
+    assert stripes > len(files) and sum(rows_in.values()) == len(ids)
+
+    def looked_at(key):
+        argument = jvm.org.apache.hadoop.hive.ql.io.sarg.SearchArgumentFactory.newBuilder().startAnd().equals("doc_id", jvm.org.apache.hadoop.hive.ql.io.sarg.PredicateLeaf.Type.LONG, key).end().build()
+        seen = 0
+        for f in files:
+            reader = open_(f)
+            rows = reader.rows(reader.options().searchArgument(argument, spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0)))
+            batch = reader.getSchema().createRowBatch()
+            while rows.nextBatch(batch):
+                seen += batch.count()
+        return seen
+
+    assert 0 < looked_at(ids[7]) <= 2000
+    assert sum(looked_at(2**40 + 2 * k + 1) > 0 for k in range(100, 120)) <= 2  # odd ids are inside a stripe's range: its Bloom filter skips it

@@ -1,24 +1,27 @@
-"""Exact substring dedup with a logarithmic family of suffix arrays.
+"""Exact substring dedup with logarithmic families of suffix arrays.
 
 Which bytes does a text share with a text of a smaller id, in strings of ``LENGTH`` bytes or more? The corpus's
-suffixes are dealt to buckets, and each bucket has an index family of its own: batches of suffixes come in
-the order of their documents, each batch gets a suffix array, is scanned against the sorted levels that
-are there, and becomes a level; levels of like size merge, so a bucket has logarithmically many.
+suffixes are dealt to buckets, and each bucket has index families of its own: batches come in, each gets a sorted
+array, is merge-scanned against the sorted levels that are there, and what no level has becomes a level; levels of like size
+merge, so a bucket has logarithmically many.
 
 What goes to which bucket is settled by minimisers. In a window of ``LENGTH`` bytes the ``GRAM``-byte string with the
 least hash is the window's anchor. Equal windows have equal anchors, so they meet in the bucket of the
-anchor's hash, and a window can only be shared if its anchor is in two documents. Hence:
+anchor's hash, and a window can only be shared if its anchor is in two documents. Windows in a row with one anchor are a
+run. Hence:
 
 1. Each chunk of documents sends, to each bucket, the hashes of its anchors: four bytes each.
-2. Each bucket answers, one bit for a hash, which of them two documents have.
-3. Each chunk sends runs of windows with such an anchor, as bytes, one for all copies in the chunk, with
-   the smallest id that has it.
-4. Each bucket puts them through its family and answers, one bit for a window, what an earlier document has. Runs
-   that are alike as a whole are one there, and those whose anchor has no other run need no search.
+2. Each bucket answers, two bits for a hash: whether two documents have it, and whether more than ``HOT_CHUNKS`` chunks do.
+3. Each chunk sorts its runs with shared anchors, and sends one of those that are alike, as bytes, with the smallest id that has
+   it. A run of an anchor that so many chunks have goes as single windows, each to the bucket of its own hash, so that no
+   task gets all surroundings of a common string.
+4. Each bucket puts the runs through a family of sorted runs, which finds the long matches: runs that agree on their whole
+   length. Runs of one anchor that differ go on, in order of their documents, to a family of suffix arrays, which finds
+   the windows that they share. The answer is one bit for a window: whether an earlier document has it.
 5. Each chunk cuts the windows' bytes from its documents.
 
-A passage that a third of all documents hold thus costs each chunk one run. Chunks and buckets are a few megabytes
-whatever the corpus; all answers can be computed anew from their inputs if an executor is lost.
+A passage that a third of all documents hold thus costs each chunk one run. Chunks and buckets are a few megabytes, as long
+as there are at most ``2 ** BUCKET_BITS[1]`` buckets; all answers can be computed anew from their inputs if an executor is lost.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, keyed_texts, release, to_python, total_bytes
+from .common import flat, keyed_texts, release, repeated, stored, to_python, total_bytes
 
 LENGTH = 50
 GRAM = 24
@@ -42,9 +45,13 @@ GRAM = 24
 CHUNK = 4 << 20
 STRETCH = 1 << 18
 #: There are about four buckets for each chunk, two to a power between these.
-BUCKET_BITS = (6, 18)
+BUCKET_BITS = (6, 26)
 #: Suffixes in a batch of an index family.
 BATCH = 1 << 17
+#: Chunks from which on an anchor's runs are dealt as single windows.
+HOT_CHUNKS = 4096
+#: Rows alike in id and text from which on they are one row until the end.
+ALIKE = 64
 #: The place of a document without an id: after all others.
 LAST = np.uint64(2**64 - 1)
 
@@ -133,39 +140,126 @@ class Chunk:
         owner = self.order[self.runs.doc[self.by_short]]
         return np.minimum.reduceat(owner, self.heads) < np.maximum.reduceat(owner, self.heads) if len(owner) else np.zeros(0, bool)
 
-    def contents(self, masks: dict[int, bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the runs whose anchors are shared: distinct contents, sorted by bucket; each one's bucket, short anchor and first document; and of each run its content or -1."""
-        shared = np.zeros(len(self.shorts), bool)
+    def contents(self, masks: dict[int, bytes]) -> Contents:
+        """The runs whose anchors are shared, sorted by anchor and bytes, those that are alike as one."""
+        shared, hot = np.zeros(len(self.shorts), bool), np.zeros(len(self.shorts), bool)
         for bucket, mask in masks.items():
             a, b = np.searchsorted(self.bucket, [bucket, bucket + 1])
-            shared[a:b] = np.unpackbits(np.frombuffer(mask, np.uint8), count=b - a)
-        some = np.flatnonzero(shared[self.place])
+            shared[a:b], hot[a:b] = np.unpackbits(np.frombuffer(mask, np.uint8), count=2 * (b - a)).reshape(2, -1)
+        some = np.flatnonzero(shared[self.place] & ~hot[self.place])
+        single = np.flatnonzero(hot[self.place])
+        start, size, doc, short = self.runs.start[some], self.runs.size[some], self.runs.doc[some], self.short[some]
+        if len(single):
+            n = self.runs.size[single]
+            at = np.repeat(self.runs.start[single] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            start, size, doc = np.concatenate([start, at]), np.concatenate([size, np.ones(len(at), np.int64)]), np.concatenate([doc, np.repeat(self.runs.doc[single], n)])
+            short = np.concatenate([short, _of_windows(self.data, at) >> np.uint64(32 - self.bits)])
         raw = self.data.tobytes()
-        ends = self.runs.start[some] + self.runs.size[some] + LENGTH - 1
-        numbers: dict[bytes, int] = {}
-        which = np.fromiter((numbers.setdefault(raw[a:b], len(numbers)) for a, b in zip(self.runs.start[some].tolist(), ends.tolist(), strict=True)), np.int64, len(some))
-        short, first = np.zeros(len(numbers), np.uint64), np.full(len(numbers), LAST)
-        short[which] = self.short[some]
-        np.minimum.at(first, which, self.order[self.runs.doc[some]])
-        texts = list(numbers)
-        by_text = np.empty(len(texts), np.int64)
-        by_text[sorted(range(len(texts)), key=texts.__getitem__)] = np.arange(len(texts))
-        order = np.lexsort((by_text, short))
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        of_run = np.full(len(self.runs.start), -1)
-        of_run[some] = back[which]
-        return [texts[i] for i in order.tolist()], (short[order] >> np.uint64(32)).astype(np.int64), short[order].astype(np.uint32), first[order], of_run
+        texts = [raw[a:b] for a, b in zip(start.tolist(), (start + size + LENGTH - 1).tolist(), strict=True)]
+        order = np.array(sorted(range(len(texts)), key=texts.__getitem__), np.int64)
+        order = order[np.argsort(short[order], kind="stable")]
+        ranked = [texts[i] for i in order.tolist()]
+        head = np.array([k == 0 or ranked[k] != ranked[k - 1] for k in range(len(ranked))], bool)
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(head) - 1
+        heads = np.flatnonzero(head)
+        first = np.minimum.reduceat(self.order[doc[order]], heads) if len(heads) else np.zeros(0, np.uint64)
+        short = short[order[heads]]
+        return Contents([ranked[k] for k in heads.tolist()], (short >> np.uint64(32)).astype(np.int64), short.astype(np.uint32), first, start, size, doc, which)
+
+
+@dataclass
+class Contents:
+    """Distinct contents of a chunk's runs, by bucket and anchor, and the runs."""
+
+    texts: list[bytes]
+    bucket: np.ndarray
+    short: np.ndarray
+    first: np.ndarray  # the smallest document that has it
+    start: np.ndarray  # from here on of each run
+    size: np.ndarray
+    doc: np.ndarray
+    which: np.ndarray  # its content
+
+
+def _of_windows(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the windows that begin at these places."""
+    h = np.zeros(len(at), np.uint64)
+    for j in range(LENGTH):
+        h = (h ^ data[at + j]) * _C[0]
+        h ^= h >> np.uint64(29)
+    return h * _C[1]
+
+
+def _levels_merge(levels: list, merge: Callable) -> None:
+    """Levels of like size merge, so that each is at least twice as long as the next."""
+    while len(levels) > 1 and len(levels[-2][0]) < 2 * len(levels[-1][0]):
+        levels[-2:] = [merge(*levels[-2:])]
+
+
+class RunFamily:
+    """Sorted levels of distinct runs (anchor, bytes), each with its number; no run is in two."""
+
+    def __init__(self):
+        self.levels: list[tuple[list[tuple[int, bytes]], list[int]]] = []
+        self.n = 0
+
+    def add(self, runs: list[tuple[int, bytes]]) -> np.ndarray:
+        """Take in a batch; the number of each run, the same for runs that agree on their whole length."""
+        order = sorted(range(len(runs)), key=runs.__getitem__)  # parts of the batch are sorted already, so this merges them
+        keys, group = [], np.empty(len(runs), np.int64)
+        for i in order:
+            if not keys or keys[-1] != runs[i]:
+                keys.append(runs[i])
+            group[i] = len(keys) - 1
+        number = np.full(len(keys), -1)
+        for level, of in self.levels:  # both sides are sorted: a merge scan
+            i = j = 0
+            while i < len(keys) and j < len(level):
+                if keys[i] == level[j]:
+                    number[i] = of[j]
+                    i, j = i + 1, j + 1
+                elif keys[i] < level[j]:
+                    i += 1
+                else:
+                    j += 1
+        new = np.flatnonzero(number < 0)
+        number[new] = self.n + np.arange(len(new))
+        self.n += len(new)
+        if len(new):
+            self.levels.append(([keys[i] for i in new.tolist()], number[new].tolist()))
+        _levels_merge(self.levels, self._merge)
+        return number[group]
+
+    @staticmethod
+    def _merge(a: tuple, b: tuple) -> tuple:
+        both = sorted([*zip(*a, strict=True), *zip(*b, strict=True)])  # two sorted runs: one merge
+        return [k for k, _ in both], [n for _, n in both]
+
+
+@dataclass
+class Suffixes:
+    """A suffix array: places in a text, sorted by the ``LENGTH`` bytes that begin there."""
+
+    text: np.ndarray
+    at: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def keys(self) -> np.ndarray:
+        return np.lib.stride_tricks.sliding_window_view(self.text, LENGTH)[self.at].view(f"S{LENGTH}").ravel()
 
 
 class IndexFamily:
-    """Sorted levels of distinct suffixes (their first ``LENGTH`` bytes), each with its first document; no suffix is in two."""
+    """Levels of suffix arrays of distinct suffixes (by their first ``LENGTH`` bytes), each suffix with its first document; none is in two."""
 
     def __init__(self):
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        self.levels: list[tuple[Suffixes, np.ndarray]] = []
 
-    def add(self, suffixes: np.ndarray, owners: np.ndarray) -> np.ndarray:
-        """Take in a batch, owners rising and none before an earlier batch's; whether a smaller owner has each suffix."""
+    def add(self, text: np.ndarray, at: np.ndarray, owners: np.ndarray) -> np.ndarray:
+        """Take in a batch of the suffixes at some places of a text, owners rising and none before an earlier batch's; whether a smaller owner has each suffix."""
+        suffixes = Suffixes(text, at).keys()
         order = np.argsort(suffixes, kind="stable")  # the batch's suffix array
         ranked = suffixes[order]
         head = np.ones(len(order), bool)
@@ -173,21 +267,31 @@ class IndexFamily:
         group = np.cumsum(head) - 1
         keys, first = ranked[head], owners[order[head]]
         known = np.zeros(len(keys), bool)
-        for level, of in self.levels:  # both sides are sorted: a merge scan
-            at = np.minimum(np.searchsorted(level, keys), len(level) - 1)
-            same = level[at] == keys
-            first[same] = of[at[same]]
-            known |= same
+        for level, of in self.levels:
+            mine, theirs = _scan(keys, level.keys())
+            first[mine] = of[theirs]
+            known[mine] = True
         earlier = np.empty(len(order), bool)
         earlier[order] = first[group] < owners[order]
         if not known.all():
-            self.levels.append((keys[~known], first[~known]))
-        while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
-            (a, x), (b, y) = self.levels[-2:]
-            at = np.searchsorted(a, b)
-            self.levels[-2:] = [(np.insert(a, at, b), np.insert(x, at, y))]
+            self.levels.append((Suffixes(text, at[order[head]][~known]), first[~known]))
+        _levels_merge(self.levels, self._merge)
         return earlier
 
+    @staticmethod
+    def _merge(a: tuple[Suffixes, np.ndarray], b: tuple[Suffixes, np.ndarray]) -> tuple[Suffixes, np.ndarray]:
+        order = np.argsort(np.concatenate([a[0].keys(), b[0].keys()]), kind="stable")
+        text, at = np.concatenate([a[0].text, b[0].text]), np.concatenate([a[0].at, b[0].at + len(a[0].text)])
+        return Suffixes(text, at[order]), np.concatenate([a[1], b[1]])[order]
+
+
+def _scan(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the strings that both sorted arrays have: a stable sort of two sorted runs merges them, and equal ones become neighbours."""
+    both = np.concatenate([a, b])
+    order = np.argsort(both, kind="stable")
+    same = np.flatnonzero(both[order[1:]] == both[order[:-1]])
+    return order[same], order[same + 1] - len(a)
+
 
 def _pack(texts: list[bytes], short: np.ndarray, first: np.ndarray) -> bytes:
     sizes = np.fromiter(map(len, texts), np.uint32, len(texts))
@@ -203,45 +307,48 @@ def _unpack(blob: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)], short, first
 
 
+def _batches(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Items in turn, in batches of about ``BATCH`` windows."""
+    at, total = 0, np.cumsum(sizes)
+    while at < len(sizes):
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + BATCH, "right")))
+        yield at, stop
+        at = stop
+
+
 def search_bucket(blobs: list[bytes]) -> list[bytes]:
     """Of each chunk's contents, bits of the windows that an earlier document has."""
-    texts: dict[bytes, int] = {}
-    parts, short, first = [], [], []
-    for blob in blobs:
-        own, anchors, owners = _unpack(blob)
-        which = np.fromiter((texts.setdefault(t, len(texts)) for t in own), np.int64, len(own))
-        parts.append((which, owners))
-        short.append(anchors)
-        first.append(owners)
-    contents = list(texts)
-    which = np.concatenate([w for w, _ in parts])
-    least, anchor = np.full(len(contents), LAST), np.zeros(len(contents), np.uint32)
-    np.minimum.at(least, which, np.concatenate(first))
-    anchor[which] = np.concatenate(short)
-    sizes = np.fromiter(map(len, contents), np.int64, len(contents)) - LENGTH + 1
+    parts = [_unpack(blob) for blob in blobs]
+    runs = [(a, t) for texts, short, _ in parts for a, t in zip(short.tolist(), texts, strict=True)]
+    owners = np.concatenate([first for *_, first in parts])
+    long = RunFamily()
+    which = np.concatenate([np.zeros(0, np.int64), *(long.add(runs[a:b]) for a, b in _batches(np.fromiter((len(t) - LENGTH + 1 for _, t in runs), np.int64, len(runs))))])
+    least, anchor = np.full(long.n, LAST), np.zeros(long.n, np.int64)
+    np.minimum.at(least, which, owners)
+    contents: list[bytes] = [b""] * long.n
+    for (a, t), k in zip(runs, which.tolist(), strict=True):
+        contents[k], anchor[k] = t, a
+    sizes = np.fromiter(map(len, contents), np.int64, long.n) - LENGTH + 1
     ends = np.cumsum(sizes)
     found = np.zeros(int(sizes.sum()), bool)
+    # runs of an anchor that agree on their whole length are one by now; where others are left, they may share windows
     _, group, times = np.unique(anchor, return_inverse=True, return_counts=True)
     several = np.flatnonzero(times[group] > 1)
     several = several[np.argsort(least[several], kind="stable")]
-    family, at = IndexFamily(), 0
-    total = np.cumsum(sizes[several])
-    while at < len(several):
-        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + BATCH, "right")))
+    family = IndexFamily()
+    for at, stop in _batches(sizes[several]):
         batch = several[at:stop]
         buffer = np.frombuffer(b"".join([contents[i] for i in batch.tolist()]), np.uint8)
         n = sizes[batch]
         begin = np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)
         spread = lambda base: np.repeat(base - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))  # noqa: B023, E731
-        windows = np.lib.stride_tricks.sliding_window_view(buffer, LENGTH)[spread(begin)]
-        earlier = family.add(windows.view(f"S{LENGTH}").ravel(), np.repeat(least[batch], n))
-        found[spread(ends[batch] - n)] = earlier
-        at = stop
-    out = []
-    for which, owners in parts:
-        n = sizes[which]
-        bits = found[np.repeat(ends[which] - n - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-        out.append(np.packbits(bits | np.repeat(owners > least[which], n)).tobytes())
+        found[spread(ends[batch] - n)] = family.add(buffer, spread(begin), np.repeat(least[batch], n))
+    out, at = [], 0
+    for texts, _, first in parts:
+        own, at = which[at : at + len(texts)], at + len(texts)
+        n = sizes[own]
+        bits = found[np.repeat(ends[own] - n - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        out.append(np.packbits(bits | np.repeat(first > least[own], n)).tobytes())
     return out
 
 
@@ -267,19 +374,22 @@ def _by_bucket(answer: Callable[[pa.Table], pa.Table]) -> Callable[[Iterator[pa.
 
 
 def _share(table: pa.Table) -> pa.Table:
-    """Which of the chunks' anchors two documents have."""
+    """Which of the chunks' anchors two documents have, and which very many chunks."""
     keys = [np.frombuffer(k, np.uint32) for k in table.column("keys").to_pylist()]
     flags = [np.unpackbits(np.frombuffer(f, np.uint8), count=len(k)).astype(bool) for f, k in zip(table.column("flags").to_pylist(), keys, strict=True)]
     every = np.sort(np.concatenate(keys))
     twice = np.unique(every[1:][every[1:] == every[:-1]])  # a chunk has each anchor once
+    often = np.unique(every[HOT_CHUNKS:][every[HOT_CHUNKS:] == every[: len(every) - HOT_CHUNKS]]) if len(every) > HOT_CHUNKS else every[:0]
     masks = []
     for k, f in zip(keys, flags, strict=True):
-        if len(twice):
-            f = f | (twice[np.minimum(np.searchsorted(twice, k), len(twice) - 1)] == k)
-        masks.append(np.packbits(f).tobytes())
+        masks.append(np.packbits(np.concatenate([f | _among(k, twice), _among(k, often)])).tobytes())
     return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "mask": pa.array(masks, pa.binary())})
 
 
+def _among(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
+    return some[np.minimum(np.searchsorted(some, keys), len(some) - 1)] == keys if len(some) else np.zeros(len(keys), bool)
+
+
 def _search(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "mask": table.column("mask"), "bits": pa.array(search_bucket(table.column("blob").to_pylist()), pa.binary())})
 
@@ -297,13 +407,21 @@ def find(docs: DataFrame, keep: bool = False) -> DataFrame:
     """Of every row: doc_id, n_bytes, the byte spans to remove (start, end, ...), the digest of what stays, and with ``keep`` those bytes.
 
     A null text is empty. A null id is after all others, and rows with equal ids, or without one, take nothing from
-    each other. An empty table gives an empty one; other columns stay behind.
+    each other; rows alike in id and text are judged alike, and if there are very many of them, once. A long text is in a chunk
+    whole. An empty table gives an empty one; other columns stay behind, whatever their names.
     """
-    rows = keyed_texts(docs)
+    rows = keyed_texts(docs).withColumn("copies", F.lit(1).cast("long"))
+    key = [F.xxhash64("doc_id", "text").alias("key_a"), F.xxhash64(F.lit("b"), "text", "doc_id").alias("key_b")]
+    alike = stored(rows.select(*key).groupBy("key_a", "key_b").agg(F.count("*").alias("alike")).where(F.col("alike") > ALIKE))
+    if not alike.isEmpty():
+        each = rows.select(*key, "doc_id", "text")
+        one = each.join(alike, ["key_a", "key_b"]).groupBy("key_a", "key_b").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first("alike").alias("copies"))
+        rows = each.join(alike, ["key_a", "key_b"], "left_anti").withColumn("copies", F.lit(1).cast("long")).unionByName(one).drop("key_a", "key_b")
+        rows = stored(rows)
     chunks = max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(total_bytes(rows, "text") / CHUNK))
     bits = min(max(math.ceil(math.log2(chunks)) + 2, BUCKET_BITS[0]), BUCKET_BITS[1])
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
-    schema = "doc_id long, n_bytes long, spans array<long>, kept_sha256 string" + ", kept binary" * keep
+    schema = "doc_id long, copies long, n_bytes long, spans array<long>, kept_sha256 string" + ", kept binary" * keep
 
     def anchors(table: pa.Table) -> pa.Table:
         chunk = Chunk(table, bits)
@@ -315,36 +433,36 @@ def find(docs: DataFrame, keep: bool = False) -> DataFrame:
         return pa.table({"chunk": pa.array([number] * len(parts), pa.int32()), "bucket": pa.array(buckets, pa.int32()), "keys": pa.array(keys, pa.binary()), "flags": pa.array(flags, pa.binary())})
 
     def masks(table: pa.Table) -> dict[int, bytes]:
-        return dict(zip(table.column("bucket").to_pylist(), table.column("mask").to_pylist(), strict=True))
+        return {b: m for b, m in zip(table.column("bucket").to_pylist(), table.column("mask").to_pylist(), strict=True) if m is not None}
 
     def send(table: pa.Table, answers: pa.Table) -> pa.Table:
         shared = masks(answers)
-        texts, bucket, short, first, _ = Chunk(table, bits).contents(shared)
-        out = []
-        for b in sorted(shared):
-            x, y = np.searchsorted(bucket, [b, b + 1]).tolist()
-            out.append(_pack(texts[x:y], short[x:y], first[x:y]))
-        number = answers.column("chunk")
-        return pa.table({"chunk": number, "bucket": pa.array(sorted(shared), pa.int32()), "mask": pa.array([shared[b] for b in sorted(shared)], pa.binary()), "blob": pa.array(out, pa.binary())})
+        found = Chunk(table, bits).contents(shared)
+        # single windows of hot anchors go to buckets of their own, from which there is no mask
+        buckets, out = sorted({*shared, *np.unique(found.bucket).tolist()}), []
+        for b in buckets:
+            x, y = np.searchsorted(found.bucket, [b, b + 1]).tolist()
+            out.append(_pack(found.texts[x:y], found.short[x:y], found.first[x:y]))
+        number = pa.array([table.column("chunk")[0].as_py()] * len(buckets), pa.int32())
+        return pa.table({"chunk": number, "bucket": pa.array(buckets, pa.int32()), "mask": pa.array([shared.get(b) for b in buckets], pa.binary()), "blob": pa.array(out, pa.binary())})
 
     def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
         chunk = Chunk(table, bits)
-        texts, bucket, _, first, of_run = chunk.contents(masks(answers))
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) - LENGTH + 1
+        found = chunk.contents(masks(answers))
+        sizes = np.fromiter(map(len, found.texts), np.int64, len(found.texts)) - LENGTH + 1
         ends = np.cumsum(sizes)
         earlier = np.zeros(int(sizes.sum()), bool)
         for b, bits_of in zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True):
-            x, y = np.searchsorted(bucket, [b, b + 1]).tolist()
+            x, y = np.searchsorted(found.bucket, [b, b + 1]).tolist()
             if y > x:
                 low, high = int(ends[x] - sizes[x]), int(ends[y - 1])
                 earlier[low:high] = np.unpackbits(np.frombuffer(bits_of, np.uint8), count=high - low)
         edge = np.zeros(len(chunk.data) + 1, np.int32)
-        some = np.flatnonzero(of_run >= 0)
-        content, size, start = of_run[some], chunk.runs.size[some], chunk.runs.start[some]
+        content, size, start = found.which, found.size, found.start
         # a later document of the chunk has nothing of a content that its first one lacks
-        whole = chunk.order[chunk.runs.doc[some]] > first[content]
+        whole = chunk.order[found.doc] > found.first[content]
         inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        gone = np.repeat(whole, size) | earlier[np.repeat(ends[content] - size, size) + inside]
+        gone = np.repeat(whole, size) | earlier[np.repeat(ends[content] - sizes[content], size) + inside]
         place = (np.repeat(start, size) + inside)[gone]
         np.add.at(edge, place, 1)
         np.add.at(edge, place + LENGTH, -1)
@@ -358,7 +476,7 @@ def find(docs: DataFrame, keep: bool = False) -> DataFrame:
             digests.append(hashlib.sha256(rest).hexdigest())
             kept.append(rest)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in spans])]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *spans]), pa.int64()))
-        columns = {"doc_id": pa.array(chunk.ids, pa.int64()), "n_bytes": pa.array(np.diff(chunk.offsets)), "spans": lists, "kept_sha256": pa.array(digests, pa.string())}
+        columns = {"doc_id": pa.array(chunk.ids, pa.int64()), "copies": table.column("copies"), "n_bytes": pa.array(np.diff(chunk.offsets)), "spans": lists, "kept_sha256": pa.array(digests, pa.string())}
         return pa.table(columns | ({"kept": pa.array(kept, pa.binary())} if keep else {}))
 
     def to_buckets(rows: DataFrame, answer: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
@@ -369,7 +487,8 @@ def find(docs: DataFrame, keep: bool = False) -> DataFrame:
     shared = to_buckets(sent, _share, "chunk int, bucket int, mask binary")
     runs = grouped.cogroup(shared.groupBy("chunk")).applyInArrow(lambda rows, more: _tidied(send)(rows, more), "chunk int, bucket int, mask binary, blob binary")
     answers = to_buckets(runs, _search, "chunk int, bucket int, mask binary, bits binary")
-    return grouped.cogroup(answers.groupBy("chunk")).applyInArrow(lambda rows, more: _tidied(cut)(rows, more), schema)
+    found = grouped.cogroup(answers.groupBy("chunk")).applyInArrow(lambda rows, more: _tidied(cut)(rows, more), schema)
+    return repeated(found, "copies", "number").drop("copies", "number") if not alike.isEmpty() else found.drop("copies")
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -4,8 +4,8 @@ A text is a sequence of its lines that hold a word. A field with two states, boi
 each line by what it looks like and each pair of neighbours by their states; Viterbi decoding finds the best
 labelling of the whole text, and the share of its words that stand in content lines decides retention.
 
-Fitting takes weak labels: every line of a text known to be good counts as content, every line of a bad text
-as boilerplate. It uses at most ``SAMPLE_DOCS`` labelled texts of at most ``SAMPLE_BYTES`` bytes each (the
+Fitting takes weak labels of lines, found from the labels of texts: a line of a good text counts as content unless
+it surely looks like the lines of bad ones, and the other way round, as long as most of a text keeps its label. It uses at most ``SAMPLE_DOCS`` labelled texts of at most ``SAMPLE_BYTES`` bytes each (the
 ones with the smallest hashes of their ids), so the driver's share is bounded. Everything else covers all rows.
 """
 
@@ -29,6 +29,9 @@ MIN_WORDS = 20
 WINDOW = 8
 MAX_REPEAT_PERCENT = 30
 MIN_CONTENT_SHARE = 0.5
+#: Log-odds from which a line's looks outweigh its text's label, and how often labels are found anew.
+SURE = 1.0
+EM_ROUNDS = 3
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_words long, content_share double, kept boolean"
 
 #: Fixed value: the characters that count as symbols.
@@ -201,25 +204,63 @@ class Field:
 
 
 def fit(sample: list[tuple[str, int]], rounds: int = 80, rate: float = 0.25, penalty: float = 1e-3, longest: int = 64) -> Field:
-    """Maximum likelihood by forward-backward and Adam. Lines come in runs of at most ``longest``; a sample without both classes gives a field that calls every line content."""
-    field = Field(np.zeros((N_FEATURES, 2)), np.zeros((2, 2)))
+    """A field from texts with their quality. Lines come in runs of at most ``longest``; a sample without both classes gives a field that calls every line content."""
     if len({y for _, y in sample}) < 2:
-        return field
-    texts = pa.RecordBatch.from_arrays([pa.array([t for t, _ in sample], pa.large_string())], names=["text"])
-    parts, doc, before = [], [], 0
-    for block in blocks(iter([texts]), size=STRETCH):
+        return Field(np.zeros((N_FEATURES, 2)), np.zeros((2, 2)))
+    features, doc, words = sample_lines([t for t, _ in sample])
+    labels = line_labels(features, doc, words, np.asarray([y for _, y in sample]), rounds, rate, penalty)
+    field = _train(features, labels, _in_runs(doc, longest), rounds, rate, penalty)
+    release()
+    return field
+
+
+def sample_lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all lines of the texts their features, text and words."""
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"])
+    parts, before = [], 0
+    for block in blocks(iter([batch]), size=STRETCH):
         lines = measure(block.column("text"))
-        parts.append(lines.features)
-        doc.append(lines.doc + before)
+        parts.append((lines.features, lines.doc + before, lines.words))
         before += block.num_rows
-    features, doc = np.concatenate(parts), np.concatenate(doc)
-    labels = np.asarray([y for _, y in sample])[doc]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def line_labels(features: np.ndarray, doc: np.ndarray, words: np.ndarray, quality: np.ndarray, rounds: int = 80, rate: float = 0.25, penalty: float = 1e-3) -> np.ndarray:
+    """Weak labels of lines: expectation and maximisation, with the texts' quality as a constraint.
+
+    All lines begin with their text's label. A model of single lines then says how much each looks like content, and a
+    line goes over to the other label where it is sure by ``SURE``. In a text the lines that fit its quality best keep its label,
+    those with half of its words or more. This is done ``EM_ROUNDS`` times.
+    """
+    labels = quality[doc]
+    single = np.arange(len(doc))[:, None], np.ones((len(doc), 1), bool)
+    for _ in range(EM_ROUNDS):
+        odds = np.subtract(*_train(features, labels, single, rounds, rate, penalty).scores(features).T[::-1])
+        fits = np.where(quality[doc] == 1, odds, -odds)  # how well a line fits its text's quality
+        order = np.lexsort((-fits, doc))
+        before = np.cumsum(words[order]) - words[order]
+        head = np.searchsorted(doc[order], np.arange(len(quality)))
+        of_text = np.bincount(doc, words, len(quality))[doc[order]]
+        most = np.empty(len(doc), bool)
+        most[order] = 2 * (before - before[np.minimum(head, len(doc) - 1)][doc[order]]) < of_text
+        labels = np.where(most | (fits > -SURE), quality[doc], 1 - quality[doc])
+    return labels
+
+
+def _in_runs(doc: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lines of texts in a row, at most ``longest``, as a table of places and which of these count."""
     runs = [r[i : i + longest] for r in np.split(np.arange(len(doc)), np.flatnonzero(np.diff(doc)) + 1) for i in range(0, len(r), longest)]
     n, t = len(runs), max(map(len, runs))
-    place = np.zeros((n, t), int)
-    on = np.zeros((n, t), bool)
+    place, on = np.zeros((n, t), int), np.zeros((n, t), bool)
     for i, r in enumerate(runs):
         place[i, : len(r)], on[i, : len(r)] = r, True
+    return place, on
+
+
+def _train(features: np.ndarray, labels: np.ndarray, runs: tuple[np.ndarray, np.ndarray], rounds: int, rate: float, penalty: float) -> Field:
+    """Maximum likelihood by forward-backward and Adam."""
+    place, on = runs
+    n, t = place.shape
     x, y = features[place], labels[place]
     both = on[:, 1:]
     theta = np.zeros(2 * N_FEATURES + 4)
@@ -247,7 +288,6 @@ def fit(sample: list[tuple[str, int]], rounds: int = 80, rate: float = 0.25, pen
         g = np.concatenate([grad.ravel(), pair.sum((0, 1)).ravel()]) / on.sum() + penalty * theta
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    release()
     return Field(theta[:-4].reshape(-1, 2), theta[-4:].reshape(2, 2))
 
 
@@ -265,8 +305,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, docs_at_most: int = SAMP
 def score(docs: DataFrame, field: Field, min_share: float = MIN_CONTENT_SHARE) -> DataFrame:
     """Base counts and verdict of every row, in one pass without a shuffle.
 
-    A null text has no words, so it fails the base rules; rows with equal ids each get a row; a null id stays
-    null; an empty table gives an empty one; other columns stay behind.
+    A null text has no words, so it fails the base rules; rows with equal ids, and rows that repeat, each get a row; a null id
+    stays null; a long text is measured and decoded whole, all its lines; of two labellings that score alike the one with content last
+    counts; an empty table gives an empty one; other columns stay behind, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +334,11 @@ def _judged(texts: pa.Array, field: Field, min_share: float) -> list[pa.Array]:
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, min_share: float = MIN_CONTENT_SHARE) -> DataFrame:
-    """The rows of ``docs``, all columns, whose texts pass. A text goes to the model once, and comes back only if it passes."""
+    """The rows of ``docs``, all columns, whose texts pass. A text goes to the model once, and comes back only if it passes.
+
+    Nulls, long texts and ties as in ``score``: a null text never passes; each of several rows alike is judged, and alike; columns keep their
+    names, whatever these are; an empty table gives an empty one. Labels without an id, a quality of 0 or 1, or agreement are passed over.
+    """
     field = fit(labelled_sample(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -71,3 +71,48 @@ def test_sample_is_bounded_and_needs_both_classes(spark):
     assert len(sample) == 7 and sample == Q.labelled_sample(docs, labels, docs_at_most=7)
     kept = Q.keep_quality(docs.selectExpr("*", "1 AS n_words"), labels.limit(0))
     assert kept.columns == ["doc_id", "text", "n_words"] and kept.count() == 0  # they repeat themselves
+
+
+def sample_of(spark):
+    docs, labels = (read(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
+    return Q.labelled_sample(docs, labels)
+
+
+def test_sequences_change_state(spark):
+    """Training texts hold lines of both labels, most of a text keeps its own, and lines of texts that all say the same keep it."""
+    sample = sample_of(spark)
+    features, doc, words = Q.sample_lines([t for t, _ in sample])
+    quality = np.array([y for _, y in sample])
+    labels = Q.line_labels(features, doc, words, quality)
+    n = len(quality)
+    content, total = np.bincount(doc, words * labels, n), np.bincount(doc, words, n)
+    mixed = (content > 0) & (content < total)
+    assert mixed.sum() > 50 and (2 * content[quality == 1] >= total[quality == 1]).all() and (2 * content[quality == 0] <= total[quality == 0]).all()
+
+
+def test_boilerplate_in_good_texts_is_found(spark):
+    """Menus spliced into good texts are boilerplate, the lines around them content; the share says how much is left."""
+    sample = sample_of(spark)
+    field = Q.fit(sample)
+    good = [t for t, y in sample if y and t.count("\n") > 3 and not brute(t)[-1]][:50]
+    menu = " | ".join(["Home", "About", "Login", "Contact", "News"] * 6)
+    exact = 0
+    for text in good:
+        lines = text.split("\n")
+        lines[2:2] = [menu, menu.upper()]
+        found = Q.measure(Q.pa.array(["\n".join(lines)]))
+        states = field.decode(field.scores(found.features))
+        full = [i for i, x in enumerate(lines) if WORD.search(x)]
+        exact += all(s == (i not in (2, 3)) for i, s in zip(full, states, strict=True))
+    assert len(good) == 50 and exact >= 45
+
+
+def test_stage_on_odd_rows(spark):
+    """The stage judges nulls, repeated rows and clashing names as the scores do."""
+    text = "\n".join(f"A line of some plain words, number {'abcdefghij'[i]}, ends here." for i in range(9))
+    rows = [(1, text, True, 1), (1, text, True, 1), (2, None, None, None), (3, "", False, 2), (None, text, None, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept boolean, n_words int")
+    labels = spark.createDataFrame([(None, 1), (1, None), (1, 7)], "doc_id long, quality int")
+    kept = Q.keep_quality(docs, labels)
+    assert kept.columns == docs.columns and sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, [rows[0], rows[1], rows[4]]))
+    assert Q.keep_quality(docs.limit(0), labels).count() == 0

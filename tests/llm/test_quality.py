@@ -109,7 +109,7 @@ def test_boilerplate_in_good_texts_is_found(spark):
 
 def test_stage_on_odd_rows(spark):
     """The stage judges nulls, repeated rows and clashing names as the scores do."""
-    text = "\n".join(f"A line of some plain words, number {'abcdefghij'[i]}, ends here." for i in range(9))
+    text = "\n".join(f"A line {x} of some {x} plain words {x}, ends." for x in "abcdefghi")
     rows = [(1, text, True, 1), (1, text, True, 1), (2, None, None, None), (3, "", False, 2), (None, text, None, 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, kept boolean, n_words int")
     labels = spark.createDataFrame([(None, 1), (1, None), (1, 7)], "doc_id long, quality int")

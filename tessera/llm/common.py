@@ -141,7 +141,48 @@ def stored(df: DataFrame) -> DataFrame:
     """The rows, written to the shared folder and read back: lineage ends here, and a lost executor costs nothing."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _STORED.add(path)
+    frame = df.sparkSession.read.schema(df.schema).parquet(path)
+    frame.stored_at = path
+    return frame
+
+
+#: Folders of this process's tables that are still there.
+_STORED: set[str] = set()
+
+
+def forget(*frames: DataFrame) -> None:
+    """Remove the tables behind ``stored`` frames that nothing reads any more: what was made of them is written itself."""
+    for frame in frames:
+        _remove(frame.sparkSession, frame.stored_at)
+
+
+def forget_all(spark: SparkSession) -> None:
+    """Remove every table that this process stored. Results that are still lazy can't be computed after this."""
+    for path in list(_STORED):
+        _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _STORED.discard(path)
+
+
+#: A key is hot if it has more than one in so many of all rows, and this many at least.
+HOT_KEYS = 1000
+HOT_LEAST = 64
+
+
+def hot_limit(total: int) -> int:
+    return max(total // HOT_KEYS, HOT_LEAST)
+
+
+def joined(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Stored rows joined with a table that has one row for each key. Hot keys, at most ``HOT_KEYS`` of them, are joined by broadcast, so that no task gets all rows of one."""
+    hot = rows.groupBy(key).agg(F.count("*").alias("__times")).where(F.col("__times") > hot_limit(rows.count())).select(key)
+    few = F.broadcast(table.join(F.broadcast(hot), key))
+    return rows.join(few, key).unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(table, key))
 
 
 #: Copies of a row that are made at once.

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_texts, keyed_texts, mix, multipliers, stored, to_python
+from .common import blocks, byte_texts, forget, joined, keyed_texts, mix, multipliers, stored, to_python
 from .components import components
 
 SHINGLE = 5
@@ -289,9 +289,10 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.dropDuplicates(["node"])
 
 
-def _vertex(doc_id: Column, node: Column) -> Column:
-    """Nodes in the order of their smallest ids, those without any last."""
-    return F.struct(doc_id.isNull().alias("none"), doc_id.alias("doc_id"), node.alias("node"))
+def _numbered(wanted: DataFrame) -> DataFrame:
+    """The nodes with numbers in the order of their smallest ids, those without any last."""
+    by = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("node")]
+    return stored(wanted.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("vertex", F.monotonically_increasing_id()))
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -303,33 +304,37 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     about = nodes.select("node", "n", "samples", "sketch")
     pairs = stored(_by_group(_buckets(nodes).join(about, "node"), ["band", "key", "i", "j"], ["n", "node"], _pairs_of))
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = stored(nodes.select("node", "doc_id").join(ends, "node", "left_semi"))
-    clusters = _components(pairs, wanted).select("node", "leader").join(about, "node")
-    size = clusters.groupBy("leader").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("chunks"))
-    members = _blocks(clusters.join(_sets(docs, wanted), "node").join(size, "leader"), F.col("chunks"))
-    members = members.select(F.lit(0).alias("band"), F.col("leader").alias("key"), "i", "j", "chunk", "node", "n", "samples", "sketch", "shingles")
+    wanted = _numbered(nodes.select("node", "doc_id").join(ends, "node", "left_semi"))
+    clusters = _components(pairs, wanted)
+    size = clusters.join(about, "node").groupBy("root").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("chunks"))
+    members = _blocks(clusters.join(about, "node").join(_sets(docs, wanted), "node").join(size, "root"), F.col("chunks"))
+    members = members.select(F.lit(0).alias("band"), F.col("root").alias("key"), "i", "j", "chunk", "node", "n", "samples", "sketch", "shingles")
     links = stored(_by_group(members, ["band", "key", "i", "j"], ["n", "node"], _links_of))
-    every = nodes.select("node", "doc_id").join(_components(links, wanted), "node", "left")
-    root = every.select("node", F.when(F.col("leader").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("leader", "node").alias("leader"))
-    return rows, stored(root)  # a plain table, so that Spark can split a join in which one node has very many rows
+    found = _components(links, wanted)
+    leaders = wanted.select(F.col("vertex").alias("root"), F.col("doc_id").alias("component_id"), F.col("node").alias("leader"))
+    named = joined(found, leaders, "root").select(F.col("node").alias("of"), "component_id", "leader")
+    every = nodes.select("node", "doc_id").join(named, F.col("node") == F.col("of"), "left")
+    # a plain table, so that Spark can split a join in which one node has very many rows
+    root = stored(every.select("node", F.when(F.col("leader").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("leader", "node").alias("leader")))
+    forget(nodes, pairs, wanted, clusters, links, found)
+    return rows, root
 
 
 def _components(links: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, component_id, leader) of the wanted nodes."""
-    vertex = wanted.select("node", _vertex(F.col("doc_id"), F.col("node")).alias("vertex"))
-    ends = links.join(vertex.select(F.col("node").alias("a"), F.col("vertex").alias("u")), "a").join(vertex.select(F.col("node").alias("b"), F.col("vertex").alias("v")), "b")
+    """(node, root) of the wanted nodes; a root is the number of a component's first node."""
+    ends = links.join(wanted.select(F.col("node").alias("a"), F.col("vertex").alias("u")), "a").join(wanted.select(F.col("node").alias("b"), F.col("vertex").alias("v")), "b")
     root = components(ends.select("u", "v"))
-    found = wanted.join(root.select(F.col("vertex.node").alias("node"), F.col("root")), "node", "left")
-    return found.select("node", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("root.doc_id")).alias("component_id"), F.coalesce("root.node", "node").alias("leader"))
+    found = wanted.select("node", "vertex").join(root, "vertex", "left")
+    return stored(found.select("node", F.coalesce("root", "vertex").alias("root")))
 
 
 def link(docs: DataFrame) -> DataFrame:
     """Every row's set size, the smallest id that it reaches over links, and whether that is its own.
 
-    A null or empty text, or one without words, has no shingles and is linked with nothing. Rows of equal
-    texts are linked whatever their ids; rows with equal ids each get a row, and each of them that has its
-    component's smallest id is kept. A null id is larger than any other; a component of null ids alone has a
-    null id, and its rows are kept. An empty table gives an empty one; other columns stay behind.
+    A null or empty text, or one without words, has no shingles and is linked with nothing; a long text has a larger
+    set, all of which counts. Rows of equal texts are linked whatever their ids; rows with equal ids each get a row, and each of them
+    that has its component's smallest id is kept. A null id is larger than any other; a component of null ids alone has a
+    null id, and its rows are kept. An empty table gives an empty one; other columns stay behind, whatever their names.
     """
     rows, root = classes(docs)
     found = rows.select("doc_id", "n_shingles", F.col("node").alias("of")).join(root, F.col("of") == F.col("node"), "left")
@@ -338,7 +343,11 @@ def link(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, one of each group: one with its smallest id. Rows without words are in no group and stay."""
+    """The rows of ``docs``, all columns, one of each group: one with its smallest id.
+
+    Rows without words (null, empty) are in no group and stay, also where they repeat; of rows that tie for the smallest id, or repeat, one
+    stays; long texts and null ids as in ``link``; columns keep their names, whatever these are; an empty table gives an empty one.
+    """
     rows, root = classes(docs)
     key = ["doc_id", "text_a", "text_b"]
     of_group = rows.where("node is not null").select(*key, "node").groupBy(*key, "node").agg(F.count("*").alias("copies")).join(root.select("node", "leader"), "node")

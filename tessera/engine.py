@@ -36,9 +36,10 @@ class Engine:
     # -- tables
 
     def create_table(self, name: str, columns: Iterable[ColumnDef], path: str | None = None) -> MemoryTable:
-        """Create an empty table; one of that name is replaced, with a warning."""
+        """Create an empty table; one of that name is replaced, with a warning, and if it was created here its rows go, flushed ones too."""
         if name in self._tables:
             warnings.warn(f"table {name} is replaced", stacklevel=2)
+            self.drop_table(name)
         if path is None and self.data_dir:
             path = f"{self.data_dir.rstrip('/')}/{name}.parquet"
         table = self._tables[name] = MemoryTable(self.spark, name, columns, path)
@@ -57,8 +58,11 @@ class Engine:
         return names
 
     def drop_table(self, name: str) -> None:
-        self._find(name)
+        """Forget a table. What a created table has flushed is removed; files that were only registered stay."""
+        table = self._find(name)
         del self._tables[name]
+        if isinstance(table, MemoryTable):
+            table.remove()
 
     def insert(self, name: str, rows: Iterable[Iterable[object]]) -> int:
         """Append rows to a created table, checked against its schema; gives their number."""
@@ -68,7 +72,7 @@ class Engine:
         return table.insert(rows)
 
     def flush(self, name: str) -> None:
-        """Write a created table's staged rows to its path."""
+        """Write a created table's staged rows to its path; the first time, in place of whatever is there."""
         table = self._find(name)
         if isinstance(table, MemoryTable):
             table.flush()

@@ -52,8 +52,8 @@ class Table:
 class MemoryTable(Table):
     """A created table. Inserted rows are checked at once and staged; a scan sees all of them.
 
-    With ``path`` staged rows go to Parquet there at each ``flush`` (as one append), so that a table isn't
-    bound by the driver; without it they stay in the driver's memory.
+    With ``path`` staged rows go to Parquet there at each ``flush`` (as one append, after a first that replaces), so that a
+    table isn't bound by the driver; without it they stay in the driver's memory.
     """
 
     def __init__(self, spark: SparkSession, name: str, columns: Iterable[ColumnDef], path: str | None = None):
@@ -81,10 +81,19 @@ class MemoryTable(Table):
         return row
 
     def flush(self) -> None:
-        if self.path and self._staged:
-            self._frame().write.mode("append").parquet(self.path)
+        """Write the staged rows. A created table begins empty, so its first flush, be it of no rows, replaces what is at its path."""
+        if self.path and (self._staged or not self._flushed):
+            self._frame().write.mode("append" if self._flushed else "overwrite").parquet(self.path)
             self._staged, self._flushed = [], True
 
+    def remove(self) -> None:
+        """Drop all rows, and the files that this table has written."""
+        self._staged = []
+        if self._flushed:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._flushed = False
+
     def _frame(self) -> DataFrame:
         return self.spark.createDataFrame(self._staged, self.schema)
 

@@ -74,7 +74,7 @@ def can_compare(left: EngineType, right: EngineType) -> bool:
 def arithmetic_type(left: EngineType, right: EngineType) -> EngineType:
     """Result type of + - * /. Only numbers have arithmetic here."""
     if not (left.is_numeric and right.is_numeric):
-        raise TypeMismatch(f"cannot perform arithmetic between {left} and {right}")
+        raise TypeMismatch(f"{left} and {right} have no sum, difference, product or quotient")
     return FLOAT64 if FLOAT64 in (left, right) else INT64
 
 

@@ -224,3 +224,58 @@ def test_prompt(engine):
 def test_scalars():
     assert [render(x) for x in (None, True, 5.0, 0.1, 7, "x", 1e21)] == ["NULL", "true", "5", "0.1", "7", "x", "1" + "0" * 21]
     assert accepts(varchar(4), "éé") and not accepts(varchar(3), "éé") and not accepts(INT64, True) and not accepts(FLOAT64, 1) and accepts(TEXT, None)
+
+
+def scanned(engine, name):
+    return sorted(r[0] for r in engine.table(name).collect())
+
+
+def test_created_again_is_empty(spark, tmp_path):
+    """Rows of a replaced table are gone, whether they were flushed or not, before a flush and after it."""
+    engine = Engine(spark, str(tmp_path))
+    engine.create_table("t", [column("x")])
+    engine.insert("t", [(1,), (2,)])
+    engine.flush("t")
+    with pytest.warns(UserWarning):
+        engine.create_table("t", [column("x")])
+    assert scanned(engine, "t") == [] and Engine(spark, str(tmp_path)).load() == []
+    engine.insert("t", [(9,)])
+    assert scanned(engine, "t") == [9]
+    engine.flush("t")
+    engine.insert("t", [(10,)])
+    engine.flush("t")
+    assert scanned(engine, "t") == [9, 10]
+
+
+def test_created_over_files_replaces_them_at_its_first_flush(spark, tmp_path):
+    old = Engine(spark, str(tmp_path))
+    old.create_table("t", [column("x")])
+    old.insert("t", [(1,)])
+    old.flush("t")
+    new = Engine(spark, str(tmp_path))
+    new.create_table("t", [column("y")])
+    assert scanned(new, "t") == []
+    new.flush("t")
+    again = Engine(spark, str(tmp_path))
+    assert again.load() == ["t"] and [f[0] for f in again.schema("t")] == ["y"] and scanned(again, "t") == []
+
+
+def test_dropped_rows_do_not_come_back(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path))
+    engine.create_table("t", [column("x")])
+    engine.insert("t", [(1,)])
+    engine.flush("t")
+    engine.drop_table("t")
+    with pytest.raises(TableNotFound):
+        engine.table("t")
+    assert engine.load() == []
+    spark.range(3).write.parquet(str(tmp_path / "r.parquet"))
+    assert engine.load() == ["r"]
+    engine.drop_table("r")
+    assert engine.load() == ["r"] and scanned(engine, "r") == [0, 1, 2]  # only registered: its files stay
+
+
+def test_where_sees_no_alias(engine):
+    with pytest.raises(ColumnNotFound):
+        engine.sql("SELECT a AS other FROM n WHERE other = 1")
+    assert [r.a for r in engine.sql("SELECT b AS a FROM n WHERE a = 1").collect()] == [r[2] for r in ROWS if r[1] == 1]

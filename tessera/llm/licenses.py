@@ -80,6 +80,14 @@ SENTENCES = [
     ("MplGrant", r"this source code form is subject to the terms of the mozilla public license, v\. ?2\.0"),
     ("MplCopy", r"if a copy of the mpl was not distributed with this file.*"),
     ("ZlibWarranty", r"this software is provided 'as-is', without any express or implied warranty"),
+    ("ZlibGrant", r"permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("ZlibOrigin", r"(?:[0-9][.)]? ?)?the origin of this software must not be misrepresented.*"),
+    ("ZlibAltered", r"(?:[0-9][.)]? ?)?altered source versions must be plainly marked as such.*"),
+    ("ZlibNotice", r"(?:[0-9][.)]? ?)?this notice may not be removed or altered from any source distribution"),
+    ("BoostGrant", r"permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license.*"),
+    ("BoostNotice", r"the copyright notices in the software and this entire statement, including the above license grant.*"),
+    ("UnlicenseFree", r"anyone is free to copy, modify, publish, use, compile, sell, or distribute this software.*"),
+    ("Cc0Waiver", r"to the extent possible under law, .{1,120} (?:has|have) waived all copyright and related or neighbou?ring rights to .*"),
     ("PublicDomain", r".{0,60}(?:is|are) (?:free and unencumbered software )?(?:released into|dedicated to|placed in(?:to)?|in) the public domain.*"),
     ("Confidential", r"(?:this (?:file|document|work) is )?(?:proprietary and confidential|confidential and proprietary).*"),
     ("NoCopying", r"unauthorized copying of .{1,80} is strictly prohibited.*"),
@@ -93,6 +101,10 @@ RULES = [
     ("BSD-2-Clause", "BsdGrant BsdSource BsdBinary BsdWarranty? BsdLiability?"),
     ("Apache-2.0", "ApacheGrant ApacheUse? ApacheCopy? ApacheWarranty? ApacheLimits?"),
     ("MPL-2.0", "MplGrant MplCopy?"),
+    ("Zlib", "ZlibWarranty? ZlibGrant ZlibOrigin? ZlibAltered? ZlibNotice?"),
+    ("BSL-1.0", "BoostGrant BoostNotice? MitWarranty?"),
+    ("Unlicense", "PublicDomain? UnlicenseFree MitWarranty? MitLiability?"),
+    ("CC0-1.0", "Cc0Waiver"),
     ("{}", "Gpl:* GplWarranty? GplDetails? GplCopy?"),
     ("{}", "Spdx:*"),
     ("{}", "Grant:* ApacheUse? ApacheCopy? ApacheWarranty? ApacheLimits?"),
@@ -130,8 +142,15 @@ def _stems(pattern: str) -> list[str]:
     return re.match(r"\(\?:((?:[^()\\]|\\.)+)\)", must)[1].split("|")
 
 
-#: A normalised text without any of these has no licence sentence, so it is not split at all.
-STEMS = re.compile("|".join([*sorted({stem for _, pattern in SENTENCES for stem in _stems(pattern)}), _VERB]))
+#: Which entries of the sentence table a piece of text may belong to, and the grants' verbs. A normalised text without any of these has no licence sentence, so it is not split at all.
+_BY_STEM = {stem: [k for k, (_, p) in enumerate(SENTENCES) if stem in _stems(p)] for _, pattern in SENTENCES for stem in _stems(pattern)}
+STEMS = re.compile("|".join([*sorted(_BY_STEM), _VERB]))
+_VERBS = re.compile(_VERB)
+
+
+def lookup(sentence: str) -> list[int]:
+    """Entries of the sentence table whose stems a normalised sentence holds, in the table's order: all that can fit."""
+    return sorted({k for stem, entries in _BY_STEM.items() if stem.replace("\\", "") in sentence for k in entries})
 
 
 def normalise(sentence: str) -> str:
@@ -143,8 +162,8 @@ def normalise(sentence: str) -> str:
 
 
 def identify(sentence: str) -> str | None:
-    """The identifier of a normalised sentence."""
-    for name, pattern in _KNOWN:
+    """The identifier of a normalised sentence: of the entries that its stems lead to, the first that fits with its gaps."""
+    for name, pattern in map(_KNOWN.__getitem__, lookup(sentence)):
         if m := pattern.fullmatch(sentence):
             if name == "SpdxTag":
                 return "Spdx:" + m["spdx"].replace(" ", "_")
@@ -153,7 +172,7 @@ def identify(sentence: str) -> str | None:
                 version = m["version"].rstrip(".")
                 return f"Gpl:{kind}-{version if '.' in version else version + '.0'}" + ("-or-later" if m["later"] else "")
             return name
-    for name, pattern in _GRANTS:
+    for name, pattern in _GRANTS if _VERBS.search(sentence) else ():
         if pattern.fullmatch(sentence):
             return f"Grant:{name}"
     return None
@@ -251,7 +270,12 @@ def scan_text(text: str | None) -> tuple[list[str], list[str], str]:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Every row's licence sentences, licences and verdict. A null or empty text has none; repeated rows each get a row; other columns stay behind."""
+    """Every row's licence sentences, licences and verdict, in one pass without a shuffle.
+
+    A null or empty text has none; a null id stays null; rows with equal ids, and rows that repeat, each get a row; a long text is
+    read whole; of entries that fit a sentence alike the first in the table counts; an empty table gives an empty one; other columns
+    stay behind, whatever their names.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):

@@ -61,6 +61,14 @@ def test_documents(spark):
 
 
 EXAMPLES = {
+    "ZlibGrant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "ZlibOrigin": "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+    "ZlibAltered": "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.",
+    "ZlibNotice": "3. This notice may not be removed or altered from any source distribution.",
+    "BoostGrant": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use it.",
+    "BoostNotice": "The copyright notices in the Software and this entire statement, including the above license grant, must be included in all copies.",
+    "UnlicenseFree": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary.",
+    "Cc0Waiver": "To the extent possible under law, Some One has waived all copyright and related or neighboring rights to This Work.",
     "SpdxTag": "SPDX-License-Identifier: MIT",
     "Copyright": "(c) 2021 Acme",
     "AllRights": "All rights\nreserved.",
@@ -150,3 +158,55 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, verdict string, n_sentences int")
     assert sorted((r.doc_id or 0, r.n_sentences, r.licenses) for r in L.scan(df).collect()) == [(0, 1, "MIT"), (1, 0, ""), (1, 5, "MIT"), (1, 5, "MIT"), (2, 0, ""), (3, 0, "")]
     assert L.scan(df.limit(0)).count() == 0
+
+
+def plainly(text):
+    """Identifiers by a second recogniser: every piece between marks and line ends against every entry, with no lookup and no prefilter."""
+    found = []
+    for line in (text or "").split("\n"):
+        for piece in re.split(r"(?<=[.!?])(?<!\bv\.)(?<![0-9]\.(?=[0-9]))\s+", line):
+            sentence = L.normalise(piece)
+            name = next((n for n, p in L._KNOWN if p.fullmatch(sentence)), None) or next((f"Grant:{n}" for n, p in L._GRANTS if p.fullmatch(sentence)), None)
+            if name:
+                found.append(name)
+    return found
+
+
+def test_documents_by_a_second_recogniser(spark):
+    """All identifiers of the documents, not only those of the lines that were planted."""
+    docs = read(spark, "/root/testdata/sf0.01", "documents")
+    want = {r.doc_id: plainly(r.text) for r in docs.collect()}
+    got = {r.doc_id: [i for i in r.sentence_ids.split(",") if i] for r in L.scan(docs).collect()}
+    assert got == want and sum(map(bool, want.values())) > 20
+
+
+ZLIB = """This software is provided 'as-is', without any express or implied warranty.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to
+alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software.
+2. Altered source versions must be plainly marked as such.
+3. This notice may not be removed or altered from any source distribution."""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code
+form or as a compiled binary, for any purpose."""
+BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and
+accompanying documentation covered by this license (the "Software") to use, reproduce and distribute the Software.
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the
+following disclaimer, must be included in all copies of the Software."""
+
+
+@pytest.mark.parametrize("text,names", [(ZLIB, ["Zlib"]), (UNLICENSE, ["Unlicense"]), (BOOST, ["BSL-1.0"]), (EXAMPLES["Cc0Waiver"], ["CC0-1.0"])])
+def test_whole_licences(text, names):
+    assert L.scan_text(text)[1:] == (names, "permissive")
+
+
+def test_lookup_leads_to_every_entry():
+    """A sentence that an entry accepts is always among what its stems lead to."""
+    for name, text in EXAMPLES.items():
+        sentence = L.normalise(text)
+        entries = [L.SENTENCES[k][0] for k in L.lookup(sentence)]
+        fits = [n for n, p in L._KNOWN if p.fullmatch(sentence)]
+        assert name in fits and set(fits) <= set(entries)

@@ -157,6 +157,15 @@ def forget(*frames: DataFrame) -> None:
         _remove(frame.sparkSession, frame.stored_at)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Removes the tables that were stored inside it, but for those in the list that it gives."""
+    before, keep = set(_STORED), []
+    yield keep
+    for path in _STORED - before - {frame.stored_at for frame in keep}:
+        _remove(spark, path)
+
+
 def forget_all(spark: SparkSession) -> None:
     """Remove every table that this process stored. Results that are still lazy can't be computed after this."""
     for path in list(_STORED):

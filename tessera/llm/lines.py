@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import repeated, stored
+from .common import repeated, scratch, stored
 
 MIN_RUN = 3
 #: A shorter run goes, too, if it has so many words.
@@ -229,7 +229,9 @@ def dedup(docs: DataFrame, depth: int = MIN_RUN, min_words: int | None = None) -
     rows = _row(docs)
     alike = rows.where("text is not null").groupBy(*_ROW, "doc_id").agg(F.count("*").alias("alike"))
     several = alike.groupBy(*_ROW).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "alike")).alias("owner"), F.sum("alike").alias("copies")).where("copies > 1")
-    about = stored(several.join(removed_lines(docs, depth, min_words), _ROW, "full"))
+    with scratch(docs.sparkSession) as keep:
+        about = stored(several.join(removed_lines(docs, depth, min_words), _ROW, "full"))
+        keep.append(about)
     # what is found grows with the corpus, so it is never sent to all tasks
     joined = rows.join(about.hint("merge"), _ROW, "left")
     owned = F.col("owner").isNull() | F.col("doc_id").eqNullSafe(F.col("owner.doc_id"))  # no owner: the only row of its text

@@ -1,8 +1,16 @@
-"""The pipeline, stage by stage against each stage's own rule on its input."""
+"""The pipeline, stage by stage: against each operator's own rows, against brute force, and on odd rows."""
 
 import re
 
+import collections
+import functools
+
 import corpus_pipeline as P
+import test_decontaminate
+import test_mixing
+import test_neardup
+import test_quality
+import test_tokens
 
 from tessera.llm import decontaminate, mixing, neardup, quality, tokens
 from tessera.llm.common import read, stored
@@ -54,3 +62,104 @@ def test_empty(spark):
 
 def test_spec_is_public():
     assert '"ByteLevel"' in tokens.public_spec()
+
+
+def by_brute_force(name, rows, spark, benchmark):
+    """Rows of documents that a stage keeps of its input, without the library's own ways (but for a line's features and the model)."""
+    if name == "quality rules":
+        field = model(spark)
+
+        def passes(text):
+            *_, failed = test_quality.brute(text)
+            if failed:
+                return False
+            lines = quality.measure(quality.pa.array([text], quality.pa.string()))
+            scores = field.scores(lines.features).tolist()
+
+            @functools.cache
+            def best(i, state):  # the best score of the lines from i on, and its labels
+                if i == len(scores):
+                    return 0.0, ()
+                ways = [(scores[i][s] + (field.move[state, s] if state is not None else 0) + best(i + 1, s)[0], (s, *best(i + 1, s)[1])) for s in (0, 1)]
+                return max(ways)
+
+            labels = best(0, None)[1]
+            return 2 * sum(w for w, s in zip(lines.words.tolist(), labels, strict=True) if s) >= sum(lines.words.tolist())
+
+        return [r for r in rows if passes(r.text)]
+    if name == "MinHash near-dedup":
+        kept = {eval(x)[0] for x in test_neardup.brute([(r.doc_id, r.text) for r in rows]) if eval(x)[3]}
+        return [r for r in rows if r.doc_id in kept]
+    judged = test_decontaminate.brute([(r.doc_id, r.text) for r in rows], benchmark)
+    return [r for r, found in zip(rows, judged, strict=True) if not found[-1]]
+
+
+@functools.cache
+def model(spark):
+    return quality.fit(quality.labelled_sample(read(spark, SF, "documents"), read(spark, SF, "labels")))
+
+
+def test_stages_by_brute_force(spark):
+    docs = read(spark, SF, "documents")
+    docs = docs.where("length(text) - length(replace(text, chr(10), '')) < 400")  # the recursion's depth
+    benchmark = [(r.item_id, r.text) for r in read(spark, SF, "benchmark").collect()]
+    # the model is fitted on what the stage gets, so the one stage that needs it gets all of it
+    for name, stage in P.STAGES[:3]:
+        rows = sorted(docs.collect(), key=lambda r: r.doc_id)
+        if name == "quality rules":
+            got = sorted(quality.score(docs, model(spark)).where("kept").select("doc_id").collect())
+            want = by_brute_force(name, rows, spark, benchmark)
+            assert [r.doc_id for r in got] == [r.doc_id for r in want]
+            docs = spark.createDataFrame(want, docs.schema)
+            continue
+        want = by_brute_force(name, rows, spark, benchmark)
+        assert len(want) < len(rows) and sorted(stage(spark, docs, SF).collect(), key=lambda r: r.doc_id) == want
+        docs = spark.createDataFrame(want, docs.schema)
+    rows = docs.collect()
+    mixed = P.STAGES[3][1](spark, docs, SF).collect()
+    size, total, goal = test_mixing.by_hand([(r.doc_id, r.text, r.source) for r in rows])
+    times = collections.Counter(r.doc_id for r in mixed)
+    taken = collections.Counter()
+    for r in rows:
+        assert times[r.doc_id] <= 3
+        taken[r.source] += times[r.doc_id] * size(r.text)
+    assert all(abs(taken[s] - float(goal[s])) <= max(12, 0.001 * float(goal[s])) for s in goal), (taken, goal)
+    out = [tuple(r) for r in P.STAGES[4][1](spark, spark.createDataFrame(mixed, docs.schema), SF).collect()]
+    assert sorted(out, key=lambda r: r[1]) == test_tokens.want([(r.doc_id, r.text) for r in mixed])
+
+
+CLASHING = "n_words kept spans items node leader text_a copies pattern size draw passes bucket class extra part ids seq chunk".split()
+
+
+def test_odd_rows_through_all_stages(spark):
+    """Null ids, texts and sources, empty and long texts, repeated rows, and columns named like the operators' own."""
+    base = read(spark, "/root/testdata/sf0.001", "documents")
+    good = base.orderBy("doc_id").limit(40).collect()
+    long = " ".join(f"word{i} of{i % 7} a long{i % 101} text{i % 13}." for i in range(60_000))
+    odd = [(None, None, None, None, None), (None, None, None, None, None), (-1, "", "en", "s", 0), (-2, long, "en", None, len(long)), (None, good[0].text + " more words at its end", "en", "s", 1)]
+    rows = [*map(tuple, good), *map(tuple, good[:5]), *odd]
+    docs = spark.createDataFrame(rows, base.schema)
+    docs = docs.selectExpr("*", *[f"'{c}' AS `{c}`" for c in CLASHING])
+    before = collections.Counter(map(repr, docs.collect()))
+    for name, stage in P.STAGES[:-1]:
+        docs = stored(stage(spark, docs, SF))
+        after = collections.Counter(map(repr, docs.collect()))
+        assert docs.columns == [*base.columns, *CLASHING] and after
+        most = 3 if stage is P.source_mix else 1
+        assert all(n <= most * before[r] for r, n in after.items()), name
+        if stage is P.near_duplicates:
+            assert max(after.values()) == 1
+        before = after
+    out = P.STAGES[-1][1](spark, docs, SF).collect()
+    assert len(out) == sum(before.values()) and sorted(a.start + a.n_tokens for a in out)[:-1] == sorted(a.start for a in out)[1:]
+
+
+def test_run_leaves_its_result_only(spark):
+    """Tables of stages that are done are removed; a session that is asked to forget has none left."""
+    from tessera.llm import common
+
+    common.forget_all(spark)
+    out = P.run(spark, "/root/testdata/sf0.001")
+    assert len(common._STORED) <= 1 and out.count() > 50
+    common.forget_all(spark)
+    assert not common._STORED

@@ -27,7 +27,7 @@ WEIGHTS = (1, 2, 3)
 MAX_PASSES = 3
 SEED = 17
 #: Hash buckets of a pattern: about the square root of the number of documents, a power of two between these.
-BUCKETS = (1 << 12, 1 << 20)
+BUCKETS = (1 << 8, 1 << 20)
 #: Documents on either side of the cut whose choice may change to fill a remainder, and the bits of memory for that.
 FILLERS = 40
 FILL_BITS = 1 << 28

@@ -231,9 +231,10 @@ def write(docs: DataFrame, spec: str, path: str, end: int = END_ID) -> None:
     is encoded whole, in one row; an empty table has files without rows; other columns stay behind, whatever their names.
     """
     rows = keyed_texts(docs)
-    # the driver samples the keys to deal by, so they hold no text
+    # the driver samples the keys to deal by, so they hold no text; rows alike in id and text have numbers, so that no file has to take all of them
     tie = F.xxhash64("text")
-    ordered = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie, "text").withColumn("part", F.spark_partition_id())
+    numbered = rows.withColumn("number", F.monotonically_increasing_id())
+    ordered = numbered.repartitionByRange("doc_id", tie, "number").drop("number").sortWithinPartitions("doc_id", tie, "text").withColumn("part", F.spark_partition_id())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_all, before = encoder(spec), 0

@@ -109,3 +109,15 @@ def test_files_hold_indexes_and_lookups_skip_stripes(spark, tmp_path, monkeypatc
 
     assert 0 < looked_at(ids[7]) <= 2000
     assert sum(looked_at(2**40 + 2 * k + 1) > 0 for k in range(100, 120)) <= 2  # odd ids are inside a stripe's range: its Bloom filter skips it
+
+
+def test_rows_alike_are_spread_over_files(spark, tmp_path):
+    rows = [(7, "the same text")] * 6000 + [(i, f"text {i}") for i in range(2000)]
+    path = str(tmp_path / "orc")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = sorted(map(tuple, T.encode_and_digest(docs, SPEC, path).collect()), key=lambda r: r[1])
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == want(rows)
+    sizes = [r["count"] for r in T.read(spark, path).groupBy("part").count().collect()]
+    assert len(sizes) > 2 and max(sizes) < 5000

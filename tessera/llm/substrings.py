@@ -11,9 +11,10 @@ anchor's hash, and a window can only be shared if its anchor is in two documents
 run. Hence:
 
 1. Each chunk of documents sends, to each bucket, the hashes of its anchors: four bytes each.
-2. Each bucket answers, two bits for a hash: whether two documents have it, and whether more than ``HOT_CHUNKS`` chunks do.
+2. Each bucket answers, two bits for a hash: whether two documents have it, and whether it is hot: more than ``HOT_CHUNKS``
+   chunks have it, or one has more than ``HOT_RUNS`` different runs of it.
 3. Each chunk sorts its runs with shared anchors, and sends one of those that are alike, as bytes, with the smallest id that has
-   it. A run of an anchor that so many chunks have goes as single windows, each to the bucket of its own hash, so that no
+   it. A run of a hot anchor goes as single windows, each to the bucket of its own hash, so that no
    task gets all surroundings of a common string.
 4. Each bucket puts the runs through a family of sorted runs, which finds the long matches: runs that agree on their whole
    length. Runs of one anchor that differ go on, in order of their documents, to a family of suffix arrays, which finds
@@ -48,8 +49,9 @@ STRETCH = 1 << 18
 BUCKET_BITS = (6, 26)
 #: Suffixes in a batch of an index family.
 BATCH = 1 << 17
-#: Chunks from which on an anchor's runs are dealt as single windows.
+#: Chunks that have an anchor, and different runs of it in one chunk, from which on its runs are dealt as single windows.
 HOT_CHUNKS = 4096
+HOT_RUNS = 256
 #: Rows alike in id and text from which on they are one row until the end.
 ALIKE = 64
 #: The place of a document without an id: after all others.
@@ -140,6 +142,16 @@ class Chunk:
         owner = self.order[self.runs.doc[self.by_short]]
         return np.minimum.reduceat(owner, self.heads) < np.maximum.reduceat(owner, self.heads) if len(owner) else np.zeros(0, bool)
 
+    def many(self) -> np.ndarray:
+        """Of each distinct anchor, whether the chunk has very many different runs of it."""
+        times = np.diff(np.append(self.heads, len(self.by_short)))
+        found = times > HOT_RUNS
+        for k in np.flatnonzero(found).tolist():
+            runs = self.by_short[self.heads[k] : self.heads[k] + times[k]]
+            ends = self.runs.start[runs] + self.runs.size[runs] + LENGTH - 1
+            found[k] = len({self.data[a:b].tobytes() for a, b in zip(self.runs.start[runs].tolist(), ends.tolist(), strict=True)}) > HOT_RUNS
+        return found
+
     def contents(self, masks: dict[int, bytes]) -> Contents:
         """The runs whose anchors are shared, sorted by anchor and bytes, those that are alike as one."""
         shared, hot = np.zeros(len(self.shorts), bool), np.zeros(len(self.shorts), bool)
@@ -376,13 +388,14 @@ def _by_bucket(answer: Callable[[pa.Table], pa.Table]) -> Callable[[Iterator[pa.
 def _share(table: pa.Table) -> pa.Table:
     """Which of the chunks' anchors two documents have, and which very many chunks."""
     keys = [np.frombuffer(k, np.uint32) for k in table.column("keys").to_pylist()]
-    flags = [np.unpackbits(np.frombuffer(f, np.uint8), count=len(k)).astype(bool) for f, k in zip(table.column("flags").to_pylist(), keys, strict=True)]
+    flags = [np.unpackbits(np.frombuffer(f, np.uint8), count=2 * len(k)).astype(bool).reshape(2, -1) for f, k in zip(table.column("flags").to_pylist(), keys, strict=True)]
     every = np.sort(np.concatenate(keys))
     twice = np.unique(every[1:][every[1:] == every[:-1]])  # a chunk has each anchor once
     often = np.unique(every[HOT_CHUNKS:][every[HOT_CHUNKS:] == every[: len(every) - HOT_CHUNKS]]) if len(every) > HOT_CHUNKS else every[:0]
+    often = np.unique(np.concatenate([often, *(k[many] for k, (_, many) in zip(keys, flags, strict=True))]))
     masks = []
-    for k, f in zip(keys, flags, strict=True):
-        masks.append(np.packbits(np.concatenate([f | _among(k, twice), _among(k, often)])).tobytes())
+    for k, (several, _) in zip(keys, flags, strict=True):
+        masks.append(np.packbits(np.concatenate([several | _among(k, twice), _among(k, often)])).tobytes())
     return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "mask": pa.array(masks, pa.binary())})
 
 
@@ -425,11 +438,11 @@ def find(docs: DataFrame, keep: bool = False) -> DataFrame:
 
     def anchors(table: pa.Table) -> pa.Table:
         chunk = Chunk(table, bits)
-        several, number = chunk.several(), table.column("chunk")[0].as_py()
+        several, many, number = chunk.several(), chunk.many(), table.column("chunk")[0].as_py()
         buckets, at = np.unique(chunk.bucket, return_index=True)
         parts = list(zip(at.tolist(), [*at[1:].tolist(), len(chunk.bucket)], strict=True)) if len(at) else []
         keys = [chunk.shorts[a:b].astype(np.uint32).tobytes() for a, b in parts]
-        flags = [np.packbits(several[a:b]).tobytes() for a, b in parts]
+        flags = [np.packbits(np.concatenate([several[a:b], many[a:b]])).tobytes() for a, b in parts]
         return pa.table({"chunk": pa.array([number] * len(parts), pa.int32()), "bucket": pa.array(buckets, pa.int32()), "keys": pa.array(keys, pa.binary()), "flags": pa.array(flags, pa.binary())})
 
     def masks(table: pa.Table) -> dict[int, bytes]:

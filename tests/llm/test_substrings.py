@@ -152,10 +152,10 @@ def _all_shared(chunk):
     return masks
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_hot_anchors_are_dealt_as_windows(spark, monkeypatch, seed):
+@pytest.mark.parametrize("seed,limit", [(1, "HOT_CHUNKS"), (2, "HOT_CHUNKS"), (1, "HOT_RUNS"), (2, "HOT_RUNS")])
+def test_hot_anchors_are_dealt_as_windows(spark, monkeypatch, seed, limit):
     rows = [(i - 30, t) for i, t in enumerate(texts(seed))]
-    monkeypatch.setattr(S, "HOT_CHUNKS", 1)
+    monkeypatch.setattr(S, limit, 1)
     assert rows_of(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == brute(rows)
 
 

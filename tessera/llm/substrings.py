@@ -100,8 +100,12 @@ def _runs_of(data: np.ndarray, offsets: np.ndarray) -> Runs:
     head[offsets[:-1]] = True
     new |= head[place]
     first = np.flatnonzero(new)
-    start = place[first]
-    return Runs(start, np.diff(np.append(first, len(place))), anchor[first], np.searchsorted(offsets, start, "right") - 1)
+    start, size, anchor = place[first], np.diff(np.append(first, len(place))), anchor[first]
+    # an anchor is in no more than ``width`` windows in a row, unless the text repeats itself: then pieces of that size are alike
+    pieces = -(-size // width)
+    inside = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    start, size, anchor = np.repeat(start, pieces) + width * inside, np.minimum(np.repeat(size, pieces) - width * inside, width), np.repeat(anchor, pieces)
+    return Runs(start, size, anchor, np.searchsorted(offsets, start, "right") - 1)
 
 
 class Chunk:

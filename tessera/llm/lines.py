@@ -232,8 +232,8 @@ def dedup(docs: DataFrame, depth: int = MIN_RUN, min_words: int | None = None) -
     with scratch(docs.sparkSession) as keep:
         about = stored(several.join(removed_lines(docs, depth, min_words), _ROW, "full"))
         keep.append(about)
-    # what is found grows with the corpus, so it is never sent to all tasks
-    joined = rows.join(about.hint("merge"), _ROW, "left")
+    # what is found grows with the corpus, so it is never sent to all tasks; hashed, so that no text has to be sorted
+    joined = rows.join(about.hint("shuffle_hash"), _ROW, "left")
     owned = F.col("owner").isNull() | F.col("doc_id").eqNullSafe(F.col("owner.doc_id"))  # no owner: the only row of its text
     one = joined.withColumn("copy", ~owned)
     if not about.where("owner.alike > 1").isEmpty():

@@ -34,9 +34,11 @@ def test_query(spark, plain, name):
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of([d[0] for d in found.description], found.fetchall())
 
 
-def test_without_the_optional_part(tmp_path):
+@pytest.mark.parametrize("others", [[], ["corpus_pipeline.py"]])
+def test_without_the_optional_part(tmp_path, others):
     shutil.copytree(ROOT / "tessera", tmp_path / "tessera", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    for name in ["__spark_entry__.py", *(x for x in others if (ROOT / x).exists())]:
+        shutil.copy(ROOT / name, tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'revenue' in q and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=100)
 

@@ -13,8 +13,10 @@
    allow it and the nodes are not linked yet. What goes on are the links that join something, again fewer than
    there are nodes. Their components are the result.
 
-A bucket or cluster that is too large for a task is dealt out as pairs of blocks. Only names and sketches go to
-buckets; sets are gathered once, for the nodes that have a candidate.
+A bucket or cluster that is too large for a task is dealt to blocks, together with a few of its nodes that go to all of
+its blocks and so tie together what is alike in different ones. What is not joined to the group's largest component after
+that meets, block by block, all nodes of the group; the largest component's nodes need not meet each other any more. Only
+names and sketches go to buckets; sets are gathered for the nodes that have a candidate, and once more for those of large clusters that are not one component yet.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_texts, forget, joined, keyed_texts, mix, multipliers, stored, to_python
+from .common import blocks, byte_texts, forget, joined, keyed_texts, mix, multipliers, scratch, stored, to_python
 from .components import components
 
 SHINGLE = 5
@@ -40,6 +42,8 @@ SIGMAS = 6.0
 #: Nodes of a bucket's block, and shingles of a cluster's.
 BLOCK_NODES = 4096
 BLOCK_SHINGLES = 2_000_000
+#: Of a group of several blocks, one node in so many times the number of its blocks goes to all of them: a small part of a block.
+PIVOTS = 16
 #: A table of at most so many ids is sent to all tasks; a larger one is shuffled.
 BROADCAST_ROWS = 500_000
 #: Words whose hashes a worker remembers.
@@ -145,13 +149,15 @@ class _Group:
         self.bucket = [column(c) for c in ("band", "key", "i", "j")]
         self.n, self.samples, self.chunk = column("n").astype(float), column("samples").astype(float), column("chunk")
         self.cross = self.bucket[2] != self.bucket[3]
+        self.root = column("root")
         self.node = column("node")
         self.sketch = np.frombuffer(b"".join(column("sketch")), np.uint64).reshape(len(self.n), -1)
 
     def candidates(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Estimates of pairs of rows, and which of them to look at."""
         similarity, may = _estimates(self.sketch[a], self.sketch[b], self.samples[a], self.samples[b], self.n[a], self.n[b])
-        return similarity, may & (~self.cross[a] | (self.chunk[a] != self.chunk[b]))
+        may &= ~self.cross[a] | (self.chunk[a] != self.chunk[b])
+        return similarity, may & ((self.root[a] < 0) | (self.root[a] != self.root[b]))
 
     def forest(self, start: int, end: int) -> list[tuple[int, int]]:
         """A spanning forest of a bucket's candidates, the most similar pairs first (Prim); memory in proportion to its nodes."""
@@ -216,18 +222,49 @@ def _by_group(rows: DataFrame, key: list[str], order: list[str], answer: Callabl
     return to_python(rows.repartition(*key).sortWithinPartitions(*key, *order), run, "a binary, b binary").distinct()
 
 
-def _blocks(rows: DataFrame, chunks: Column) -> DataFrame:
-    """Rows dealt to pairs of blocks i <= j of their group; ``chunks`` is the number of blocks."""
-    dealt = rows.withColumn("chunks", chunks.cast("int")).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: F.struct(F.least(x, "chunk").alias("i"), F.greatest(x, "chunk").alias("j")))
-    return dealt.withColumn("block", F.explode(others)).withColumns({"i": F.col("block.i"), "j": F.col("block.j")}).drop("block", "chunks")
-
-
-def _buckets(nodes: DataFrame) -> DataFrame:
-    """(band, key, i, j) buckets of two nodes or more, with their nodes."""
-    member = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    size = member.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
-    return _blocks(member.join(size, ["band", "key"]), F.ceil(F.col("size") / BLOCK_NODES)).drop("size")
+_GROUP = ["band", "key"]
+_BLOCK = [*_GROUP, "i", "j"]
+
+
+def _own_blocks(members: DataFrame) -> DataFrame:
+    """Rows dealt to blocks (i, i) of their groups; ``chunks`` is the number of blocks. Some few go to all blocks."""
+    chunk, chunks = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"), F.col("chunks")
+    pivot = (chunks > 1) & (F.pmod(F.xxhash64(F.lit("pivot"), "node"), chunks * PIVOTS) == 0)
+    at = F.when(pivot, F.sequence(F.lit(0), (chunks - 1).cast("int"))).otherwise(F.array(chunk))
+    dealt = members.withColumns({"chunk": chunk, "root": F.lit(-1).cast("long"), "i": at})
+    return dealt.withColumn("i", F.explode("i")).withColumn("j", F.col("i")).drop("chunks")
+
+
+def _other_blocks(members: DataFrame, roots: DataFrame, weight: Column, size: int) -> DataFrame:
+    """Rows dealt to pairs of blocks i <= j of their groups, i one of those rows that are not of the group's largest component by weight."""
+    placed = members.join(roots, "node", "left")
+    parts = placed.groupBy(*_GROUP, "root").agg(F.sum(weight).alias("weight"))
+    best = F.max(F.when(F.col("root").isNotNull(), F.struct("weight", "root"))).alias("best")
+    groups = parts.groupBy(*_GROUP).agg(F.sum("weight").alias("weight"), best)
+    left = F.ceil((F.col("weight") - F.coalesce(F.col("best.weight"), F.lit(0))) / size).cast("int")
+    groups = stored(groups.select(*_GROUP, F.col("best.root").alias("core"), left.alias("left")).where("left > 0"))
+    dealt = placed.join(groups, _GROUP).withColumn("is_core", F.coalesce(F.col("root") == F.col("core"), F.lit(False)))
+    hashed, chunks = F.xxhash64("node"), F.col("chunks").cast("int")
+    chunk = F.when(F.col("is_core"), F.col("left") + F.pmod(hashed, chunks)).otherwise(F.pmod(hashed, F.col("left"))).cast("int")
+    dealt = dealt.withColumns({"chunk": chunk, "root": F.coalesce("root", F.lit(-1).cast("long"))})
+    last = F.when(F.col("is_core"), F.col("left")).otherwise(F.col("left") + chunks) - 1
+    others = F.transform(F.sequence(F.lit(0), last), lambda x: F.struct(F.least(x, "chunk").alias("i"), F.greatest(x, "chunk").alias("j")))
+    return dealt.withColumn("at", F.explode(others)).withColumns({"i": F.col("at.i"), "j": F.col("at.j")}).drop("at", "chunks", "core", "left", "is_core")
+
+
+def _joining(groups: DataFrame, members: Callable[[DataFrame], DataFrame], nodes: DataFrame, weight: Column, size: int, answer: Callable[[pa.Table], pa.RecordBatch]) -> DataFrame:
+    """Pairs (a, b) that join the groups' nodes, as ``answer`` finds them. ``groups`` has the number of blocks, of ``size`` by weight, that each needs."""
+    first = stored(_by_group(_own_blocks(members(groups)), _BLOCK, ["n", "node"], answer))
+    large = groups.where("chunks > 1")
+    if large.isEmpty():
+        return first
+    with scratch(nodes.sparkSession) as keep:
+        ends = _ends(first, nodes)
+        rest = _other_blocks(members(large), _components(first, ends), weight, size)
+        pairs = stored(first.unionByName(_by_group(rest, _BLOCK, ["n", "node"], answer)).distinct())
+        keep.append(pairs)
+    forget(first)
+    return pairs
 
 
 def _links_of(rows: pa.Table) -> pa.RecordBatch:
@@ -247,7 +284,8 @@ def _confirmed(group: _Group, sets: list[np.ndarray], start: int, end: int) -> l
     flat = np.unique(np.concatenate(sets[start:end]), return_inverse=True)[1]
     first = np.cumsum(sizes) - sizes
     own = np.zeros(int(flat.max()) + 1, bool)
-    label = np.arange(end - start)
+    root, each = group.root[start:end], np.arange(end - start)
+    label = np.unique(np.where(root < 0, -1 - each, root), return_inverse=True)[1]
     reach = np.searchsorted(sizes, sizes * (100 / LIMIT), "right")  # nodes stand by size
     out = []
     for k in range(end - start - 1):
@@ -289,8 +327,10 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.dropDuplicates(["node"])
 
 
-def _numbered(wanted: DataFrame) -> DataFrame:
-    """The nodes with numbers in the order of their smallest ids, those without any last."""
+def _ends(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs' nodes with numbers in the order of their smallest ids, those without any last."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = nodes.select("node", "doc_id").join(ends, "node", "left_semi")
     by = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("node")]
     return stored(wanted.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("vertex", F.monotonically_increasing_id()))
 
@@ -302,21 +342,27 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.max("n_samples").alias("samples"), one("bands"), one("sketch"))
     nodes = stored(nodes)
     about = nodes.select("node", "n", "samples", "sketch")
-    pairs = stored(_by_group(_buckets(nodes).join(about, "node"), ["band", "key", "i", "j"], ["n", "node"], _pairs_of))
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = _numbered(nodes.select("node", "doc_id").join(ends, "node", "left_semi"))
+    member = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    buckets = member.groupBy(*_GROUP).agg(F.count("*").alias("size")).where("size > 1")
+    buckets = stored(buckets.select(*_GROUP, F.ceil(F.col("size") / BLOCK_NODES).alias("chunks")))
+    pairs = _joining(buckets, lambda g: member.join(g, _GROUP).join(about, "node"), nodes, F.lit(1), BLOCK_NODES, _pairs_of)
+    wanted = _ends(pairs, nodes)
     clusters = _components(pairs, wanted)
-    size = clusters.join(about, "node").groupBy("root").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("chunks"))
-    members = _blocks(clusters.join(about, "node").join(_sets(docs, wanted), "node").join(size, "root"), F.col("chunks"))
-    members = members.select(F.lit(0).alias("band"), F.col("root").alias("key"), "i", "j", "chunk", "node", "n", "samples", "sketch", "shingles")
-    links = stored(_by_group(members, ["band", "key", "i", "j"], ["n", "node"], _links_of))
+    sized = clusters.join(about, "node").select(F.lit(0).alias("band"), F.col("root").alias("key"), "node", "n", "samples", "sketch")
+    groups = stored(sized.groupBy(*_GROUP).agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("chunks")))
+
+    def with_sets(g: DataFrame) -> DataFrame:
+        of = wanted if g is groups else wanted.join(sized.join(g, _GROUP).select("node"), "node", "left_semi")
+        return sized.join(g, _GROUP).join(_sets(docs, of), "node")
+
+    links = _joining(groups, with_sets, nodes, F.col("n"), BLOCK_SHINGLES, _links_of)
     found = _components(links, wanted)
     leaders = wanted.select(F.col("vertex").alias("root"), F.col("doc_id").alias("component_id"), F.col("node").alias("leader"))
     named = joined(found, leaders, "root").select(F.col("node").alias("of"), "component_id", "leader")
     every = nodes.select("node", "doc_id").join(named, F.col("node") == F.col("of"), "left")
     # a plain table, so that Spark can split a join in which one node has very many rows
     root = stored(every.select("node", F.when(F.col("leader").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("leader", "node").alias("leader")))
-    forget(nodes, pairs, wanted, clusters, links, found)
+    forget(nodes, buckets, pairs, wanted, clusters, groups, links, found)
     return rows, root
 
 

@@ -89,6 +89,21 @@ def test_groups_around_the_limit(spark, monkeypatch, nodes, shingles):
     assert rows_of(N.link(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
 
 
+def test_large_groups_are_dealt_once(spark):
+    """Rows of a large group go to one block each, but for the few that go to all; only what is left meets all the others."""
+    nodes, blocks = 4000, 40
+    members = spark.range(nodes).selectExpr("0 as band", "7L as key", "cast(cast(id as string) as binary) as node", "id", f"{blocks}L as chunks")
+    own = N._own_blocks(members)
+    assert own.select("node").distinct().count() == nodes and own.count() <= 1.2 * nodes and own.where("i != j").isEmpty()
+    roots = members.selectExpr("node", "if(id < 3, id, 100L) as root").where("id != 4")
+    one = N._other_blocks(members, members.selectExpr("node", "100L as root"), N.F.lit(1), 100)
+    assert one.count() == 0
+    dealt = N._other_blocks(members, roots, N.F.lit(1), 100)
+    assert dealt.count() == (nodes - 4) + 4 * (blocks + 1)  # four that are left, in one block
+    left = dealt.where("id < 3 or id = 4").groupBy("id").agg(N.F.collect_set("j").alias("j")).collect()
+    assert len(left) == 4 and all(sorted(r.j) == list(range(blocks + 1)) for r in left)
+
+
 def test_odd_rows(spark):
     long = " ".join(f"w{i}" for i in range(50_000))
     rows = [(9, "A b c"), (4, "a B\nc"), (7, "a b c d"), (None, "a b c d"), (1, None), (2, ""), (3, " \n"), (None, None), (11, long), (12, long + " end"), (11, long), (11, "a b c d"), (None, "only null ids here"), (None, "only  null ids HERE")]

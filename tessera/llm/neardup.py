@@ -340,12 +340,13 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = stored(signatures(docs))
     one = lambda c: F.first(c).alias(c)  # noqa: E731  the same for all rows of a node
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.max("n_samples").alias("samples"), one("bands"), one("sketch"))
-    nodes = stored(nodes)
+    # buckets hold nodes by number, which takes less room than a name in the rows that are shuffled most; the number is the table's, made once
+    nodes = stored(nodes.withColumn("number", F.monotonically_increasing_id()))
     about = nodes.select("node", "n", "samples", "sketch")
-    member = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    member = nodes.select("number", F.posexplode("bands").alias("band", "key"))
     buckets = member.groupBy(*_GROUP).agg(F.count("*").alias("size")).where("size > 1")
     buckets = stored(buckets.select(*_GROUP, F.ceil(F.col("size") / BLOCK_NODES).alias("chunks")))
-    pairs = _joining(buckets, lambda g: member.join(g, _GROUP).join(about, "node"), nodes, F.lit(1), BLOCK_NODES, _pairs_of)
+    pairs = _joining(buckets, lambda g: member.join(g, _GROUP).join(nodes.select("number", *about.columns), "number").drop("number"), nodes, F.lit(1), BLOCK_NODES, _pairs_of)
     wanted = _ends(pairs, nodes)
     clusters = _components(pairs, wanted)
     sized = clusters.join(about, "node").select(F.lit(0).alias("band"), F.col("root").alias("key"), "node", "n", "samples", "sketch")
